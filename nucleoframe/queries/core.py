@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from nucleoframe.common import table
 from nucleoframe.operators.islands import exon_periods
 from nucleoframe.operators.nested import nested_parts
+from nucleoframe.queries import base, relational, scalars  # noqa: F401
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +57,9 @@ UNION ALL SELECT 'translation', rec_id::VARCHAR, place::VARCHAR, i::INT, n::VARC
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p4_found": p4_found}
+    return {"p3_found": p3_found, "p4_found": p4_found} | {name: e.run for name, e in base.ENTRIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_SQL, "p4_found": P4_SQL}
+    """Operators that draw at random, render text or search exhaustively in Python have none; tests check those."""
+    return {"p3_found": P3_SQL, "p4_found": P4_SQL} | {name: e.sql for name, e in base.ENTRIES.items() if e.sql}

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nucleoframe.common import cut_lineage, latest_rows
+from nucleoframe.common import broadcast_if_small, cut_lineage, latest_rows
 from nucleoframe.llm.split import sequence_letters
 
 TOKEN = 24
@@ -26,6 +26,8 @@ CHUNK, BLOCK = 1 << 22, 1 << 16
 _CODE = np.full(256, 4, np.uint8)
 for _i, _pair in enumerate(("aA", "cC", "gG", "tTuU")):
     _CODE[[ord(x) for x in _pair]] = _i
+#: Shared tokens or spans up to this number (24 bytes each at most) are broadcast.
+SMALL = 500_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -114,8 +116,10 @@ def shared_spans(df: DataFrame, key: str, text: str, min_len: int = 80, token: i
     each with its letters in two bits.  Tokens of one record only are dropped by an
     aggregate; the windows of the others are opened into their spans, packed without
     loss, and spans of more than one key are kept.  Neither step forms pairs, so a
-    passage in a third of all records costs as much as any other; hot tokens are
-    combined before the exchanges and split by the skew join.
+    passage in a third of all records costs as much as any other.  Shared tokens and
+    spans that are counted to be few are sent to the records, which are read again
+    (windows are cheaper to find than to shuffle); many are joined by exchange, hot ones
+    combined before it and split by the skew join.
     """
     if not 1 <= token <= min(31, min_len):
         raise ValueError("token must be between 1 and 31 and not longer than min_len")
@@ -139,9 +143,8 @@ def shared_spans(df: DataFrame, key: str, text: str, min_len: int = 80, token: i
                 )
 
     found = rows.mapInArrow(windows, f"token bigint, key {kind}, pos bigint, spans int, letters binary")
-    found = cut_lineage(found)
-    tokens = found.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("token")
-    likely = found.join(tokens, "token", "left_semi").select("key", "pos", "spans", "letters")
+    tokens = cut_lineage(found.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("token"))
+    likely = found.join(broadcast_if_small(tokens, SMALL), "token", "left_semi").select("key", "pos", "spans", "letters")
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -163,9 +166,8 @@ def shared_spans(df: DataFrame, key: str, text: str, min_len: int = 80, token: i
 
     parts = [f"w{i}" for i in range(words)]
     spans = likely.mapInArrow(opened, f"{', '.join(f'{p} bigint' for p in parts)}, key {kind}, pos bigint")
-    spans = cut_lineage(spans)
-    both = spans.groupBy(*parts).agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select(*parts)
-    return spans.join(both, parts, "left_semi").select(F.col("key").alias(key), "pos")
+    both = cut_lineage(spans.groupBy(*parts).agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select(*parts))
+    return spans.join(broadcast_if_small(both, SMALL), parts, "left_semi").select(F.col("key").alias(key), "pos")
 
 
 def covered(spans: DataFrame, key: str, pos: str, min_len: int) -> DataFrame:
@@ -202,6 +204,12 @@ def shared_bases(genbank: DataFrame, min_len: int = 80) -> DataFrame:
     empty and short sequences share nothing; a stretch that only repeats within its
     own record isn't shared; letters other than a, c, g, t (u) end a stretch.
     """
-    current = latest_rows(genbank.select("rec_id", "loaded_at", "seq"), ["rec_id"], "loaded_at", ["seq"])
+    rows = genbank.select("rec_id", "loaded_at", "seq")
+    newest = rows.where("rec_id is not null").groupBy("rec_id").agg(F.max("loaded_at").alias("loaded_at"))
+    few = broadcast_if_small(newest, SMALL)
+    if few is newest:
+        current = latest_rows(rows, ["rec_id"], "loaded_at", ["seq"])
+    else:  # sequences stay where they are; doubled rows stay too and change nothing
+        current = rows.join(few, (rows["rec_id"] == newest["rec_id"]) & rows["loaded_at"].eqNullSafe(newest["loaded_at"]), "left_semi")
     spans = shared_spans(current.select("rec_id", sequence_text(F.col("seq")).alias("seq")), "rec_id", "seq", min_len)
     return covered(spans, "rec_id", "pos", min_len)

@@ -28,7 +28,7 @@ def _longest(seq: Column, letters: str) -> Column:
 def max_runs(seq: Column) -> Column:
     """Longest runs of A, C, G, T, A or T, G or C; other characters don't break a run."""
     own = F.regexp_replace(seq, "[^ACGT]", "")
-    return F.array(*[_longest(own, x) for x in ("A", "C", "G", "T", "AT", "GC")])
+    return F.when(seq.isNotNull(), F.array(*[_longest(own, x) for x in ("A", "C", "G", "T", "AT", "GC")]))
 
 
 def runs_within(seq: Column, a: int, t: int, g: int, c: int, at: int, gc: int) -> Column:

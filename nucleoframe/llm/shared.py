@@ -14,11 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nucleoframe.common import broadcast_if_small, cut_lineage, latest_rows
-from nucleoframe.llm.split import sequence_letters
 
 TOKEN = 24
 #: Letters that are worked on at once, and positions of a record that are counted in one group.
@@ -26,6 +25,8 @@ CHUNK, BLOCK = 1 << 22, 1 << 16
 _CODE = np.full(256, 4, np.uint8)
 for _i, _pair in enumerate(("aA", "cC", "gG", "tTuU")):
     _CODE[[ord(x) for x in _pair]] = _i
+_SKIP = 5
+_CODE[[ord(x) for x in "0123456789 \t\n\r\v\f"]] = _SKIP
 #: Shared tokens or spans up to this number (24 bytes each at most) are broadcast.
 SMALL = 500_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -85,6 +86,9 @@ def _joined(texts: list[str | None], min_len: int) -> Iterator[tuple[np.ndarray,
         if t is None or len(t) < min_len:
             continue
         c = _CODE[np.frombuffer(t.encode("latin-1", "replace"), np.uint8)]
+        c = c[c != _SKIP]
+        if len(c) < min_len:
+            continue
         for a in range(0, max(1, len(c) - min_len + 1), CHUNK - min_len + 1):
             piece = c[a : a + CHUNK]
             if size and size + len(piece) + 1 > 2 * CHUNK:
@@ -112,13 +116,15 @@ def _packed_bytes(codes: np.ndarray) -> list[bytes]:
 def shared_spans(df: DataFrame, key: str, text: str, min_len: int = 80, token: int = TOKEN) -> DataFrame:
     """Start positions (``key, pos``, from 0) of all spans of ``min_len`` letters a, c, g, t that another key has too.
 
+    Letters are read in either case, u as t; blanks, line ends and digits don't count, any other letter ends a span.
+
     Every record gives about ``2 / (min_len - token + 2)`` compact windows a letter,
     each with its letters in two bits.  Tokens of one record only are dropped by an
     aggregate; the windows of the others are opened into their spans, packed without
     loss, and spans of more than one key are kept.  Neither step forms pairs, so a
     passage in a third of all records costs as much as any other.  Shared tokens and
-    spans that are counted to be few are sent to the records, which are read again
-    (windows are cheaper to find than to shuffle); many are joined by exchange, hot ones
+    spans that are counted to be few are sent to the windows, which are found once more
+    (that is cheaper than to shuffle them); many are joined by exchange, hot ones
     combined before it and split by the skew join.
     """
     if not 1 <= token <= min(31, min_len):
@@ -144,7 +150,7 @@ def shared_spans(df: DataFrame, key: str, text: str, min_len: int = 80, token: i
 
     found = rows.mapInArrow(windows, f"token bigint, key {kind}, pos bigint, spans int, letters binary")
     tokens = cut_lineage(found.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("token"))
-    likely = found.join(broadcast_if_small(tokens, SMALL), "token", "left_semi").select("key", "pos", "spans", "letters")
+    likely = cut_lineage(found.join(broadcast_if_small(tokens, SMALL), "token", "left_semi").select("key", "pos", "spans", "letters"))
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -192,11 +198,6 @@ def covered(spans: DataFrame, key: str, pos: str, min_len: int) -> DataFrame:
     )
 
 
-def sequence_text(seq: Column) -> Column:
-    """A sequence without blanks, line ends and digits, in lower case, u read as t."""
-    return F.translate(F.lower(sequence_letters(seq)), "u", "t")
-
-
 def shared_bases(genbank: DataFrame, min_len: int = 80) -> DataFrame:
     """For every record with a shared stretch, how many of its bases lie in such stretches: ``rec_id, shared_bp``.
 
@@ -211,5 +212,5 @@ def shared_bases(genbank: DataFrame, min_len: int = 80) -> DataFrame:
         current = latest_rows(rows, ["rec_id"], "loaded_at", ["seq"])
     else:  # sequences stay where they are; doubled rows stay too and change nothing
         current = rows.join(few, (rows["rec_id"] == newest["rec_id"]) & rows["loaded_at"].eqNullSafe(newest["loaded_at"]), "left_semi")
-    spans = shared_spans(current.select("rec_id", sequence_text(F.col("seq")).alias("seq")), "rec_id", "seq", min_len)
+    spans = shared_spans(current.select("rec_id", "seq"), "rec_id", "seq", min_len)
     return covered(spans, "rec_id", "pos", min_len)

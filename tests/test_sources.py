@@ -31,8 +31,8 @@ FEATURES             Location/Qualifiers
                      /pseudo
                      /note="one"
                      /note="two"
-                     /translation="MAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAA
-                     CCC"
+                     /translation="MAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAA
+                     ACCC"
 ORIGIN      
         1 acgtacgtac acgtacgtac acgtacgtac acgtacgtac acgtacgtac acgtacgtac
        61 acgtacgtac

@@ -21,7 +21,7 @@ from nucleoframe.common import broadcast_if_small, cut_lineage, latest_rows
 
 TOKEN = 24
 #: Letters that are worked on at once, and positions of a record that are counted in one group.
-CHUNK, BLOCK = 1 << 22, 1 << 16
+CHUNK, BLOCK = 1 << 20, 1 << 16
 _CODE = np.full(256, 4, np.uint8)
 for _i, _pair in enumerate(("aA", "cC", "gG", "tTuU")):
     _CODE[[ord(x) for x in _pair]] = _i

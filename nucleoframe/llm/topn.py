@@ -20,7 +20,7 @@ def top_n_per_group(df: DataFrame, group: str, item: str, n: int, order: list[Co
     * ties in ``order`` are broken by ``item`` (nulls last), repeated rows by nothing
       else, so of equal rows any one may stand for the others;
     * fewer than ``n`` rows come out whole; an empty table gives an empty result;
-    * all columns of ``df`` are kept, plus ``rank``.
+    * all columns of ``df`` are kept, plus ``rank``; a column of that name is replaced.
     """
     by = [*order, F.col(f"`{item}`").asc_nulls_last()]
     salted = df.where(F.col(f"`{group}`").isNotNull()).withColumn("_nf_salt", F.pmod(F.xxhash64(F.col(f"`{item}`")), F.lit(salts)))

@@ -94,7 +94,17 @@ def canonical_text(text: Column, fold_case: bool = False) -> Column:
     """
     if fold_case:
         return F.coalesce(_folded_of_odd(F.when(text.rlike(r"[^\n\x20-\x7E]"), text)), F.lower(text))
-    return F.coalesce(_canonical_of_odd(F.when(text.rlike(f"[^{PLAIN}]"), text)), text)
+    odd = ((F.octet_length(text) != F.length(text)) | F.contains(text, F.lit("\t"))) & text.rlike(f"[^{PLAIN}]")  # no pattern for plain ASCII
+    return F.coalesce(_canonical_of_odd(F.when(odd, text)), text)
+
+
+def _hashed(df: DataFrame, key: str, text: str, fold_case: bool = False) -> DataFrame:
+    """``key, class_a, class_b, raw``; classes are null for texts of none."""
+    form = df.where(F.col(f"`{key}`").isNotNull()).select(
+        F.col(f"`{key}`").alias(key), F.xxhash64(F.col(f"`{text}`")).alias("raw"), canonical_text(F.col(f"`{text}`"), fold_case).alias("_nf_form")
+    )
+    seen = F.col("_nf_form").rlike(r"[^\s]")
+    return form.select(key, F.when(seen, F.xxhash64("_nf_form")).alias("class_a"), F.when(seen, F.xxhash64(F.lit("second"), F.col("_nf_form"))).alias("class_b"), "raw")
 
 
 def visual_classes(df: DataFrame, key: str, text: str, fold_case: bool = False) -> DataFrame:
@@ -103,12 +113,7 @@ def visual_classes(df: DataFrame, key: str, text: str, fold_case: bool = False)
     Null texts, and texts without a visible character, belong to no class and are
     left out, as are rows without key; repeated rows stay repeated.
     """
-    form = df.where(F.col(f"`{key}`").isNotNull()).select(
-        F.col(f"`{key}`").alias(key), F.xxhash64(F.col(f"`{text}`")).alias("raw"), canonical_text(F.col(f"`{text}`"), fold_case).alias("_nf_form")
-    )
-    return form.where(F.col("_nf_form").rlike(r"[^\s]")).select(
-        key, F.xxhash64("_nf_form").alias("class_a"), F.xxhash64(F.lit("second"), F.col("_nf_form")).alias("class_b"), "raw"
-    )
+    return _hashed(df, key, text, fold_case).where("class_a is not null")
 
 
 def visual_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -118,7 +123,8 @@ def visual_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     aggregate before anything is joined, so rows that are only exact copies of each
     other meet no join.  An empty table gives no pairs.
     """
-    rows = cut_lineage(visual_classes(df, key, text))
+    # texts of no class are left out behind the cut: a filter before it would be pushed down and find each form twice
+    rows = cut_lineage(_hashed(df, key, text)).where("class_a is not null")
     mixed = rows.groupBy("class_a", "class_b").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("class_a", "class_b")
     kept = rows.join(mixed, ["class_a", "class_b"], "left_semi")
     a, b = (kept.select("class_a", "class_b", F.col(key).alias(f"{key}_{s}"), F.col("raw").alias(f"raw_{s}")) for s in "ab")

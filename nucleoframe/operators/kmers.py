@@ -21,10 +21,12 @@ CODES = np.full(256, 4, np.uint8)
 for _i, _pair in enumerate(("aA", "cC", "gG", "tT")):
     CODES[[ord(x) for x in _pair]] = _i
 ROWS = 1 << 18
+#: Bytes of results that are held before they are handed on; one record may have more.
+BYTES = 1 << 24
 
 
-def per_record(df: DataFrame, key: str, seq: str, work: Callable[[str], dict[str, object]], fields: str) -> DataFrame:
-    """``key`` and the rows that ``work`` returns for each text, as columns of equal length; null texts give none."""
+def per_record(df: DataFrame, key: str, seq: str, work: Callable[[str], dict[str, object] | Iterator[dict[str, object]]], fields: str) -> DataFrame:
+    """``key`` and the rows that ``work`` returns for each text, as columns of equal length, or in pieces; null texts give none."""
     kind = dict(df.dtypes)[key]
     names = [f.split()[0] for f in fields.split(", ")]
     schema = df.sparkSession.createDataFrame([], fields).schema
@@ -34,7 +36,7 @@ def per_record(df: DataFrame, key: str, seq: str, work: Callable[[str], dict[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            owner, parts, size = [], [[] for _ in names], 0
+            owner, parts, size, held = [], [[] for _ in names], 0, 0
 
             def flush() -> pa.RecordBatch:
                 cols = [pa.concat_arrays(x) if x else pa.array([], t) for x, t in zip(parts, types)]
@@ -44,17 +46,18 @@ def per_record(df: DataFrame, key: str, seq: str, work: Callable[[str], dict[str
             for i, t in enumerate(b.column(1).to_pylist()):
                 if t is None:
                     continue
-                out = work(t)
-                n = len(out[names[0]])
-                if not n:
-                    continue
-                owner.append((i, n))
-                for p, name, kind_ in zip(parts, names, types):
-                    p.append(pa.array(out[name], kind_))
-                size += n
-                if size >= ROWS:
-                    yield flush()
-                    owner, parts, size = [], [[] for _ in names], 0
+                done = work(t)
+                for out in (done,) if isinstance(done, dict) else done:
+                    n = len(out[names[0]])
+                    if not n:
+                        continue
+                    owner.append((i, n))
+                    for p, name, kind_ in zip(parts, names, types):
+                        p.append(pa.array(out[name], kind_))
+                    size, held = size + n, held + sum(p[-1].nbytes for p in parts)
+                    if size >= ROWS or held >= BYTES:
+                        yield flush()
+                        owner, parts, size, held = [], [[] for _ in names], 0, 0
             yield flush()
 
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{seq}`").alias("seq"))
@@ -193,30 +196,104 @@ def close_repeats(df: DataFrame, key: str, seq: str, k: int, gap: int) -> DataFr
     return per_record(df, key, seq, work, "first bigint, second bigint, length bigint")
 
 
+class Repeats:
+    """Maximal repeats of ``k`` letters or more: intervals of the sorted suffixes, from all occurrences and without forming pairs.
+
+    Other letters than A, C, G, T and the text's end agree with nothing, not even with themselves.
+    """
+
+    def __init__(self, text: str, k: int):
+        self.text, self.k = text.upper(), k
+        code = CODES[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)].astype(np.int64)
+        n = self.n = len(code)
+        self.code = np.append(np.where(code < 4, code, 4 + np.arange(n)), 4 + n)
+        if n > k:
+            self._sort()
+
+    def _sort(self) -> None:
+        """Suffixes in order by doubling the compared length; groups that are single stay as they are."""
+        n, h = self.n + 1, 16
+        small = np.concatenate((np.minimum(self.code, 4), np.full(h, 4)))
+        word, foreign = np.zeros(n, np.int64), np.zeros(n, bool)
+        for i in range(h):
+            word = word * 5 + small[i : i + n]
+            foreign |= small[i : i + n] > 3
+        order = np.lexsort((np.where(foreign, 1 + np.arange(n), 0), word))
+        new = np.ones(n, bool)
+        new[1:] = (word[order[1:]] != word[order[:-1]]) | foreign[order[1:]]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        levels = [(h, rank)]
+        while not new.all():
+            many = np.flatnonzero(~(new & np.append(new[1:], True)))
+            sub = order[many]
+            second = rank[sub + h]
+            o = np.lexsort((second, rank[sub]))
+            sub, second = sub[o], second[o]
+            order[many] = sub
+            own = np.ones(len(sub), bool)
+            own[1:] = (rank[sub[1:]] != rank[sub[:-1]]) | (second[1:] != second[:-1])
+            new[many] = own
+            rank = rank.copy()
+            rank[sub] = many[np.maximum.accumulate(np.where(own, np.arange(len(sub)), 0))]
+            h *= 2
+            levels.append((h, rank))
+        a, b, self.order = order[:-1], order[1:], order
+        lcp = np.zeros(n - 1, np.int64)
+        for h, rank in reversed(levels):
+            at = np.flatnonzero(rank[np.minimum(a + lcp, n - 1)] == rank[np.minimum(b + lcp, n - 1)])
+            lcp[at] += h
+        at = np.arange(n - 1)
+        for _ in range(15):
+            at = at[self.code[a[at] + lcp[at]] == self.code[b[at] + lcp[at]]]
+            lcp[at] += 1
+        self.lcp = lcp
+
+    def __iter__(self) -> Iterator[tuple[str, list[int]]]:
+        """Each repeat with all its places in order."""
+        if self.n <= self.k:
+            return
+        before = np.where(self.order > 0, self.code[self.order - 1], -1)
+        turns = np.concatenate(([0], np.cumsum(before[1:] != before[:-1])))  # letters before agree from lo to hi where this does
+        at = np.flatnonzero(self.lcp >= self.k)
+        open_: list[tuple[int, int]] = []
+        ends = np.append(np.diff(at) != 1, True) if len(at) else []
+        for i, m, end in zip(at.tolist(), self.lcp[at].tolist(), ends):
+            lo = i
+            while open_ and open_[-1][0] > m:
+                length, lo = open_.pop()
+                yield from self._repeat(length, lo, i, turns)
+            if not open_ or open_[-1][0] < m:
+                open_.append((m, lo))
+            while end and open_:
+                length, lo = open_.pop()
+                yield from self._repeat(length, lo, i + 1, turns)
+
+    def _repeat(self, length: int, lo: int, hi: int, turns: np.ndarray) -> Iterator[tuple[str, list[int]]]:
+        if turns[lo] != turns[hi]:
+            places = np.sort(self.order[lo : hi + 1]).tolist()
+            yield self.text[places[0] : places[0] + length], places
+
+
 def all_repeats(df: DataFrame, key: str, seq: str, k: int) -> DataFrame:
-    """``key, repeat, places``: the distinct longest repeats of neighbouring occurrences, each with all its places in order.
+    """``key, repeat, places``: the distinct longest repeats over all pairs of occurrences, each with all its places in order.
 
-    A repeat that lies inside another one at every place is left out.
+    A repeat whose occurrences can all be lengthened alike, to the left or to the
+    right, is left out for the longer one.
     """
     _valid(k)
 
-    def work(t: str) -> dict[str, object]:
-        x = Index(t, k)
-        at = np.flatnonzero(x.next >= 0)
-        a, b, n = _diagonals(at, x.next[at], k)
-        found: dict[str, set[int]] = {}
-        for i, j, m in zip(a.tolist(), b.tolist(), n.tolist()):
-            found.setdefault(x.text[i : i + m], set()).update((i, j))
-        inside: dict[int, list[tuple[int, str]]] = {}
-        for s, places in found.items():
-            for p in places:
-                inside.setdefault(p, []).append((len(s), s))
-        keep = {}
-        for s, places in found.items():
-            longer = any(len(o) > len(s) and places <= found[o] and o.startswith(s) for p in list(places)[:1] for _, o in inside[p])
-            if not longer:
-                keep[s] = sorted(places)
-        return {"repeat": list(keep), "places": list(keep.values())}
+    def work(t: str) -> Iterator[dict[str, object]]:
+        out: dict[str, list] = {"repeat": [], "places": []}
+        size = 0
+        for repeat, places in Repeats(t, k):
+            out["repeat"].append(repeat)
+            out["places"].append(places)
+            size += len(repeat) + 8 * len(places)
+            if size > BYTES:
+                yield out
+                out, size = {"repeat": [], "places": []}, 0
+        yield out
 
     return per_record(df, key, seq, work, "repeat string, places array<bigint>")
 

@@ -30,6 +30,38 @@ def test_repeats(spark):
         kmers.repeat_index(one, "id", "seq", 32)
 
 
+def maximal_repeats(s, k):
+    """Brute force: all strings of a pair of occurrences that can't be lengthened on either side, with all their places."""
+    same = lambda i, j: 0 <= i < len(s) > j >= 0 and s[i] == s[j] and s[i] in "ACGT"
+    found = set()
+    for i in range(len(s)):
+        for j in range(i + 1, len(s)):
+            m = 0
+            while same(i + m, j + m):
+                m += 1
+            if m >= k and not same(i - 1, j - 1):
+                found.add(s[i : i + m])
+    return {r: [i for i in range(len(s)) if s.startswith(r, i)] for r in found}
+
+
+def test_repeats_of_words_that_occur_often(spark):
+    rng = random.Random(11)
+    x = "".join(rng.choices("ACGT", k=40))
+    far = "T" + x + "GG" + x[:8] + "TT" + x[20:29] + "AC" + x + "C"  # parts of x lie between its two occurrences
+    seqs = [far, "A" * 30, "ACG" * 15, "ACGTN" * 6, "acgtACGTacgtu" * 3, "", "AC", None]
+    seqs += ["".join(rng.choices(letters, k=n)) for letters, n in (("AC", 70), ("ACGT", 300), ("AAAAACGTN", 200), ("AN", 60))]
+    seqs += [x * 3 + "N" + x * 2 + far + x[5:] + "G" + x[3:30]]
+    for k in (1, 3, 8, 17):
+        got = {}
+        for r in kmers.all_repeats(frame(spark, seqs), "id", "seq", k).collect():
+            assert r["repeat"] not in got.setdefault(r["id"], {})
+            got[r["id"]][r["repeat"]] = r["places"]
+        for i, s in enumerate(seqs):
+            assert got.get(i, {}) == maximal_repeats((s or "").upper(), k), (i, k)
+    many = kmers.all_repeats(frame(spark, [far]), "id", "seq", 8).where(F.col("repeat") == x)
+    assert [r["places"] for r in many.collect()] == [[1, far.rindex(x)]]
+
+
 def test_word_counts_against_counting(spark):
     rng = random.Random(3)
     seqs = ["".join(rng.choices("ACGTN", k=n)) for n in (0, 3, 4, 50, 300)]

@@ -59,37 +59,43 @@ def _word_hashes(size: int) -> np.ndarray:
 
 
 def _edited(wins: np.ndarray, edits: int, seed: int) -> np.ndarray:
-    """Windows after so many random word edits, cut or filled up with unknown words (0) to their length."""
+    """Windows after so many random word edits, and what follows them in a page: ``edits`` longer than before.
+
+    Half of the words that come in or follow are unknown (0), half are words of the windows.
+    """
     rng = np.random.default_rng(seed)
-    out = np.zeros_like(wins)
+    long = wins.shape[1] + edits
+    out = np.zeros((len(wins), long), wins.dtype)
+    other = lambda n: rng.choice(wins.ravel(), n) * rng.integers(0, 2, n)
     for i, w in enumerate(wins.tolist()):
         for _ in range(edits):
-            at, kind = int(rng.integers(len(w))), int(rng.integers(3))
-            w[at : at + (kind != 1)] = [0] if kind < 2 else []
-        w = w[: wins.shape[1]]
-        out[i, : len(w)] = w
+            at, kind = int(rng.integers(max(1, len(w)))), int(rng.integers(3))
+            w[at : at + (kind != 1)] = other(1).tolist() if kind < 2 else []
+        w += other(max(0, long - len(w))).tolist()
+        out[i] = w[:long]
     return out
 
 
 def walks_for(wins: np.ndarray, hashes: np.ndarray, edits: int, recall: float) -> list["Walk"]:
-    """As many walks as bring edited windows together with themselves at the wanted rate, measured on up to 2,000 of them."""
+    """As many walks as find edited windows at the wanted rate, after verification, measured on up to 2,000 of them."""
     n = wins.shape[1]
     if not edits:
         return [Walk(n, 1000 * n)]
     some = np.repeat(wins[:: max(1, len(wins) // 500)], 4, axis=0)[:2000]
     other = _edited(some, edits, n)
     begin = np.arange(len(some)) * n
+    holds = np.array([passage_distance(a, b, edits) <= edits for a, b in zip(some, other)], bool)
     met, walks = np.zeros(len(some), bool), []
     while met.mean() < (1 + recall) / 2 and len(walks) < MOST_WALKS:
         walks.append(Walk(n, 1000 * n + len(walks), SAMPLED // 2))
-        met |= walks[-1].signatures(hashes[some.ravel()], begin) == walks[-1].signatures(hashes[other.ravel()], begin)
+        met |= holds & (walks[-1].signatures(hashes[some.ravel()], begin) == walks[-1].signatures(hashes[other.ravel()], np.arange(len(some)) * other.shape[1]))
     if met.mean() < recall:
         raise ValueError(f"windows of {n} words can't be found with {edits} edits at a recall of {recall}")
     return walks
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Word edits from a to b, or ``most + 1``."""
+def passage_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    """Word edits from a to the nearest beginning of b, of whatever length, or ``most + 1``."""
     row = list(range(len(b) + 1))
     for i, x in enumerate(a.tolist(), 1):
         new = [i]
@@ -98,7 +104,7 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
         row = new
         if min(row) > most:
             return most + 1
-    return row[-1]
+    return min(row)
 
 
 class ItemBlock:
@@ -128,8 +134,9 @@ class ItemBlock:
         self.hashes = hashes
 
     def found(self, ids: np.ndarray, page: np.ndarray) -> np.ndarray:
-        """Rows (page, item) for the words ``ids`` of several pages; a 0 ends each page."""
+        """Rows (page, item) for the words ``ids`` of several pages; a 0 ends each page, ``max_edits`` of them if more."""
         out = []
+        ends = np.searchsorted(page, page, "right") if self.max_edits else page
         for walk, sig, wins, owner, known in self.tables:
             n = walk.n
             if len(ids) < n:
@@ -151,11 +158,11 @@ class ItemBlock:
             which = np.repeat(np.arange(len(hits)), hi - lo)
             win = np.arange(len(which)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
             start = starts[hits][which]
-            texts = ids[start[:, None] + np.arange(n)]
-            if self.max_edits:
-                good = np.array([edit_distance(a, b, self.max_edits) <= self.max_edits for a, b in zip(texts, wins[win])], bool)
+            if self.max_edits:  # the page's passage may be shorter or longer than the item's
+                stop = np.minimum(start + n + self.max_edits, ends[start])
+                good = np.array([passage_distance(w, ids[a:b], self.max_edits) <= self.max_edits for a, b, w in zip(start.tolist(), stop.tolist(), wins[win])], bool)
             else:
-                good = (texts == wins[win]).all(1)
+                good = (ids[start[:, None] + np.arange(n)] == wins[win]).all(1)
             out.append(np.stack((page[start[good]], owner[win[good]]), 1))
         return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
@@ -182,8 +189,8 @@ def find_leaks(
     """Pages that hold a passage of an item: ``page_key, item_key``, each pair once.
 
     A passage is ``window`` consecutive words of the item, or all words of a shorter
-    item, with at most ``max_edits`` word edits (0: exact, nothing is missed; more:
-    as many repetitions as ``recall`` needs).  The stated items are taken in blocks of
+    item, with at most ``max_edits`` words changed, put in or left out (0: exact,
+    nothing is missed; more: as many repetitions as ``recall`` needs).  The stated items are taken in blocks of
     ``block_words`` words, each sent to all tasks and held against all pages, so what
     is broadcast has a fixed bound and no page is shuffled; only found pairs are.
 
@@ -208,7 +215,7 @@ def find_leaks(
                     ends = []
                     for t in texts[a : a + 500]:
                         ids += [number(w, 0) for w in words_of(t)]
-                        ids.append(0)
+                        ids += [0] * max(1, own.max_edits)
                         ends.append(len(ids))
                     page = np.repeat(np.arange(len(ends)), np.diff([0, *ends]))
                     pairs = own.found(np.array(ids, np.int64), page)

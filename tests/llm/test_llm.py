@@ -1,6 +1,7 @@
 """The operators of the subpackage llm against brute force, with awkward input."""
 
 import random
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -228,6 +229,37 @@ def test_leaks_with_edits_reach_the_recall(spark):
     assert got <= {(i, i) for i, _ in items} and len(got) >= 0.9 * len(items)
 
 
+@pytest.mark.parametrize("edits, recall", [(1, 0.95), (2, 0.8)])
+def test_leaks_with_words_put_in_and_left_out(spark, edits, recall):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    other = lambda: rng.choice([*words, "foreign"])
+    items = [(i, " ".join(rng.choices(words, k=12))) for i in range(150)]
+    kinds = {}
+    pages = []
+    for i, t in items:
+        for kind in ("put in", "left out", "at the end"):
+            w = t.split()
+            for _ in range(edits):
+                at = rng.randrange(1, len(w) - 1)
+                w[at : at + (kind != "put in")] = [other()] if kind == "put in" else []
+            kinds[len(pages)] = (kind, i)
+            pages.append((len(pages), " ".join([other() for _ in range(30)] + w + [other() for _ in range(30) if kind != "at the end"])))
+    P, I = spark.createDataFrame(pages, "doc long, t string"), spark.createDataFrame(items, "item long, t string")
+    got = [(r["doc"], r["item"]) for r in leak.find_leaks(P, "doc", "t", I, "item", "t", max_edits=edits, recall=recall).collect()]
+    found = Counter(kinds[d][0] for d, i in got if kinds[d][1] == i)
+    assert all(kinds[d][1] == i for d, i in got)
+    assert all(found[k] >= recall * len(items) for k in ("put in", "left out", "at the end")), found
+
+
+def test_passages_end_with_their_page():
+    block = leak.ItemBlock([(0, list("abcdefghijkl"))], 12, 1, 0.9)
+    ids = np.array([*range(1, 12), 0, 12, 0])  # the item's last word is the next page's first
+    assert block.found(ids, np.array([0] * 12 + [1] * 2)).tolist() == [[0, 0]]
+    cut = np.array([*range(1, 11), 0, 11, 12, 0])
+    assert block.found(cut, np.array([0] * 11 + [1] * 3)).tolist() == []
+
+
 # 8
 
 

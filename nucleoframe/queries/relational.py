@@ -412,8 +412,7 @@ def e4(spark: SparkSession, d: str) -> DataFrame:
 
 def _with_sequence(spark: SparkSession, d: str) -> DataFrame:
     """Transcripts with a made sequence of the right length, the same in both engines."""
-    t = base.transcripts(spark, d).where(F.col("end") - F.col("start") < 100000)
-    return t.withColumn("seq", F.substr(F.repeat(F.lit("ACCGTTTGAC"), F.floor((F.col("end") - F.col("start") + 10) / 10).cast("int")), F.lit(1), (F.col("end") - F.col("start") + 1).cast("int")))
+    return base.transcripts(spark, d).withColumn("seq", F.substr(F.repeat(F.lit("ACCGTTTGAC"), F.floor((F.col("end") - F.col("start") + 10) / 10).cast("int")), F.lit(1), (F.col("end") - F.col("start") + 1).cast("int")))
 
 
 _SEQ = "substr(repeat('ACCGTTTGAC', ((re - rs + 10) // 10)::INT), (CASE WHEN strand < 0 THEN (re - rs + 1) - (hi - rs) ELSE lo - rs END)::INT + 1, (hi - lo)::INT)"

@@ -59,10 +59,11 @@ def records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def proteins(spark: SparkSession, d: str) -> DataFrame:
-    """``id, aa``: the letters of each translation, first value of a feature."""
+    """``id, aa``: the letters of each translation; a feature's values after the first have their place in the id."""
     f = records(spark, d).select("id", F.posexplode("features").alias("_i", "f"))
-    v = f.select(F.concat_ws("/", F.col("id").cast("string"), (F.col("_i") + 1).cast("string")).alias("id"), F.try_element_at(F.try_element_at(F.col("f.qualifiers"), F.lit("translation")), F.lit(1)).alias("v"))
-    return v.select("id", F.regexp_replace(F.upper("v"), "[^A-Z]", "").alias("aa")).where("aa <> ''")
+    v = f.select("id", "_i", F.posexplode(F.try_element_at(F.col("f.qualifiers"), F.lit("translation"))).alias("_j", "v"))
+    own = F.concat_ws("/", F.col("id").cast("string"), (F.col("_i") + 1).cast("string"), F.when(F.col("_j") > 0, (F.col("_j") + 1).cast("string")))
+    return v.select(own.alias("id"), F.regexp_replace(F.upper("v"), "[^A-Z]", "").alias("aa")).where("aa <> ''")
 
 
 def features(spark: SparkSession, d: str) -> DataFrame:

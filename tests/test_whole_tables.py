@@ -1,7 +1,10 @@
 """Queries on small made tables with rows that are long, reversed or hold several values, against brute force."""
 
-from nucleoframe.queries import core
+from datetime import datetime
 
+from nucleoframe.queries import base, core
+
+NOW = datetime(2026, 1, 1)
 QUERIES = core.queries()
 GENES = (
     "id string, display_name string, strand int, start bigint, end bigint, seq_region_name string, species string, loaded_at timestamp, "
@@ -48,3 +51,13 @@ def test_sequences_of_long_transcripts(spark, tmp_path):
         want += [(t, lo, hi, part(t, lo, hi)) for lo, hi in zip(starts, ends)]
     got = sorted(tuple(r) for r in QUERIES["e6_permitted_sequences"](spark, d).select("parent", "lo", "hi", "seq").collect())
     assert got == sorted(want)
+
+
+def test_all_values_of_a_translation(spark, tmp_path):
+    values = [["MKV"], ["mkl", "MAA*", "MR V"], ["", "MCC"], [None, "1", "MDD"], [], None]
+    features = [("CDS", "1..9", None if v is None else {"translation": v}) for v in values] + [("gene", "1..9", {"note": ["x"]})]
+    schema = "rec_id bigint, loaded_at timestamp, info string, seq string, features array<struct<type: string, location: string, qualifiers: map<string, array<string>>>>"
+    d = write(spark, tmp_path, genbank=([(7, NOW, None, "ACGT", features), (8, NOW, None, "ACGT", None)], schema))
+    got = {r["id"]: r["aa"] for r in base.proteins(spark, d).collect()}
+    assert got == {"7/1": "MKV", "7/2": "MKL", "7/2/2": "MAA", "7/2/3": "MRV", "7/3/2": "MCC", "7/4/3": "MDD"}
+    assert {r["id"] for r in QUERIES["s12_reverse_translate"](spark, d).where("ok").collect()} == set(got)

@@ -104,33 +104,81 @@ def shared_brute(seqs, n):
     return out
 
 
-@pytest.mark.parametrize("small", [500_000, 0])
-def test_shared_spans_against_brute_force(spark, monkeypatch, small):
-    monkeypatch.setattr(shared, "SMALL", small)
+def test_shared_runs_against_brute_force(spark):
     rng = random.Random(3)
     make = lambda n: "".join(rng.choices("acgt", k=n))
     core, low = make(120), "a" * 60
     seqs = {1: make(50) + core + make(40), 2: core[10:70] + make(30), 3: make(20) + low, 4: low + make(9), 5: core[:35] + "n" + core[36:], 6: "", 7: make(200), 8: core[30:61], 9: make(30) * 3}
     seqs[10] = seqs[1]
-    df = spark.createDataFrame([*seqs.items(), (11, None), (None, core)], "id long, s string").withColumn("token", F.lit(1))
-    spans = shared.shared_spans(df, "id", "s", 32, token=12)
-    got = {r["id"]: r["shared_bp"] for r in shared.covered(spans, "id", "pos", 32).collect()}
+    seqs[11] = seqs[12] = make(40) + "nn" + make(20) + "n" + make(33)
+    df = spark.createDataFrame([*seqs.items(), (13, None), (None, core), (1, seqs[1].upper())], "id long, s string").withColumns({"token": F.lit(1), "tid": F.lit(2), "letters": F.lit("x")})
+    runs = shared.shared_runs(df, "id", "s", 32, token=12)
+    got = {r["id"]: r["shared_bp"] for r in shared.covered(runs, "id", 32).collect()}
     assert got == shared_brute(seqs, 32)
-    assert shared.shared_spans(df.limit(0), "id", "s", 32, token=12).count() == 0
+    assert shared.shared_runs(df.limit(0), "id", "s", 32, token=12).count() == 0
 
 
-def test_long_records_are_counted_in_blocks(spark):
+def test_many_near_copies_of_a_passage(spark):
+    """One token with many contents, each cut at another place or with another letter, and copies of each."""
+    rng = random.Random(8)
+    core, seqs = "".join(rng.choices("acgt", k=90)), {}
+    for i in range(60):
+        a, b = sorted(rng.sample(range(91), 2))
+        s = core[a:b]
+        if s and i % 3 == 0:
+            at = rng.randrange(len(s))
+            s = s[:at] + rng.choice("acgt") + s[at + 1 :]
+        seqs[i] = s + "".join(rng.choices("acgt", k=rng.choice([0, 5])))
+    df = spark.createDataFrame([*seqs.items()], "id int, s string")
+    got = {r["id"]: r["shared_bp"] for r in shared.covered(shared.shared_runs(df, "id", "s", 20, token=6), "id", 20).collect()}
+    assert got == shared_brute(seqs, 20)
+
+
+def test_deliveries_at_the_same_time_count_as_one(spark):
+    rng = random.Random(9)
+    a, b = ("".join(rng.choices("acgt", k=100)) for _ in "ab")
+    rows = [(1, a, "2026-01-02"), (1, b[:90], "2026-01-02"), (2, b, "2026-01-01"), (3, a, "2026-01-01"), (3, b, "2026-01-03"), (4, b, "2026-01-01"), (4, None, "2026-01-02"), (None, b, "2026-01-01")]
+    df = spark.createDataFrame(rows, "rec_id long, seq string, t string").withColumn("loaded_at", F.to_timestamp("t"))
+    got = {r["rec_id"]: r["shared_bp"] for r in shared.shared_bases(df).collect()}
+    assert got == {2: 100, 3: 100}
+
+
+def test_compact_windows_are_nodes_of_the_cartesian_tree():
+    codes = np.random.default_rng(5).integers(0, 4, 400).astype(np.uint8)
+    min_len, token = 40, 8
+    kmer = shared._packed(codes, token)
+    order, w = shared.token_hashes(kmer).tolist(), min_len - token + 1
+
+    def nodes(lo, hi):
+        """Place, first and last window start of all nodes whose range holds a window of w tokens."""
+        if hi - lo < w:
+            return []
+        at = min(range(lo, hi), key=lambda i: order[i])
+        return [(at, max(lo, at - w + 1), min(at, hi - w)), *nodes(lo, at), *nodes(at + 1, hi)]
+
+    want = sorted((a, b, int(kmer[at])) for at, a, b in nodes(0, len(order)))
+    assert [(int(a), int(b), int(t)) for t, a, b in zip(*shared.compact_windows(codes, min_len, token))] == want
+
+
+def test_overlapping_runs_are_counted_once(spark):
     pos = [*range(0, 100), 65530, 65535, 65536, 65600, 65600, 131071, 131072]
-    df = spark.createDataFrame([(1, p) for p in pos], "id long, pos long")
-    want = len({q for p in pos for q in range(p, p + 50)})
-    assert [r["shared_bp"] for r in shared.covered(df, "id", "pos", 50).collect()] == [want]
+    df = spark.createDataFrame([(1, p, 1) for p in pos] + [(1, 10, 300), (1, 20, 5)], "id long, first long, spans int")
+    want = len({q for p in [*pos, *range(10, 310)] for q in range(p, p + 50)})
+    assert [r["shared_bp"] for r in shared.covered(df, "id", 50).collect()] == [want]
+
+
+def test_letters_are_packed_without_loss():
+    text = " 1 acgtnnACGUacgt-\n 2 n"
+    n, letters, gaps = shared.pack_letters(text, 4)
+    assert "".join("acgt?"[c] for c in shared.unpack_letters(n, letters, gaps)) == "acgt??acgtacgt??"
+    assert shared.pack_letters("ac 1", 4) is None
 
 
 def test_chunks_of_a_long_text(monkeypatch):
     monkeypatch.setattr(shared, "CHUNK", 100)
     text = "".join(random.Random(4).choices("acgt", k=1000))
     starts = set()
-    for codes, owner, begin, offset in shared._joined([text, None, "acgt"], 40):
+    for codes, owner, begin, offset in shared._joined([shared.pack_letters(text, 40)], 40):
         for tok, first, last in [shared.compact_windows(codes, 40, 12)]:
             own = np.searchsorted(begin, first, "right") - 1
             for a, b, o in zip(first, last, own):

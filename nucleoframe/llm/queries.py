@@ -12,7 +12,7 @@ from nucleoframe.llm.packing import pack_documents
 from nucleoframe.llm.shared import shared_bases
 from nucleoframe.llm.split import split_records
 from nucleoframe.llm.topn import best_padlocks
-from nucleoframe.llm.visual import CYRILLIC_SHAPES, GREEK_SHAPES, visual_pairs
+from nucleoframe.llm.visual import visual_members, visual_pairs
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,8 +39,12 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visual_pairs(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p8_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return visual_members(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p5_found, p6_packed, p7_found, p8_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p5_found, p6_packed, p7_found, p8_found, p8_members)}
 
 
 P1_SQL = r"""
@@ -93,7 +97,6 @@ SELECT rec_id, sum(c)::INT AS shared_bp FROM own GROUP BY rec_id
 
 def _form_sql(column: str) -> str:
     """The consistent form, with DuckDB's own normalisation."""
-    shapes = CYRILLIC_SHAPES | GREEK_SHAPES
     wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
     narrow = "".join(chr(c) for c in range(0x21, 0x7F))
     x = f"regexp_replace({column}, '[\\x{{AD}}\\x{{34F}}\\x{{61C}}\\x{{180B}}-\\x{{180F}}\\x{{200B}}-\\x{{200F}}\\x{{202A}}-\\x{{202E}}\\x{{2060}}-\\x{{206F}}\\x{{FE00}}-\\x{{FE0F}}\\x{{FEFF}}]', '', 'g')"
@@ -101,8 +104,12 @@ def _form_sql(column: str) -> str:
     for lig, plain in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st")):
         x = f"replace({x}, '{lig}', '{plain}')"
     x = f"translate({x}, '{wide.replace(chr(39), chr(39) * 2)}', '{narrow.replace(chr(39), chr(39) * 2)}')"
-    # precomposed letters on shapes of other scripts occur in two forms only: ё and its capital
-    x = f"translate({x}, '{''.join(shapes)}ёЁ', '{''.join(shapes.values())}ëË')"
+    # Letters of one shape, Cyrillic, then Greek, then the precomposed letters on such shapes that occur
+    for other, latin in (
+        ("АВЕКМНОРСТУХЅІЈѴҮӀԚԜ", "ABEKMHOPCTYXSIJVYIQW"), ("аеорсухѕіјѵүһӏԁԛԝ", "aeopcyxsijvyhldqw"),
+        ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "ABEZHIKMNOPTYXCJ"), ("νορϲϳ", "vopcj"), ("ёЁ", "ëË"),
+    ):
+        x = f"translate({x}, '{other}', '{latin}')"
     return f"nfc_normalize({x})"
 
 
@@ -127,6 +134,14 @@ WHERE regexp_matches(a.f, '[^\s]')
 """
 
 
+P8_MEMBERS_SQL = rf"""
+WITH form AS (SELECT doc_id, text, {_form_sql("text")} AS f FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY f) AS look, min(doc_id) OVER (PARTITION BY f, text) AS spelling, n_spellings
+FROM form JOIN (SELECT f, count(DISTINCT text) AS n_spellings FROM form GROUP BY f HAVING count(DISTINCT text) > 1) USING (f)
+WHERE regexp_matches(f, '[^\s]')
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """p6 has none: many fillings are equally good; its tests check that containers hold and how full they are."""
-    return {"p1_found": P1_SQL, "p2_found": P2_SQL, "p5_found": P5_SQL, "p7_found": P7_SQL, "p8_found": P8_SQL}
+    return {"p1_found": P1_SQL, "p2_found": P2_SQL, "p5_found": P5_SQL, "p7_found": P7_SQL, "p8_found": P8_SQL, "p8_members": P8_MEMBERS_SQL}

@@ -21,14 +21,14 @@ from nucleoframe.common import cut_lineage
 
 # Letters of other scripts that have the shape of a Latin letter.
 CYRILLIC_SHAPES = {
-    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X",
-    "Ѕ": "S", "І": "I", "Ј": "J", "Ԛ": "Q", "Ԝ": "W",
+    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X",
+    "Ѕ": "S", "І": "I", "Ј": "J", "Ѵ": "V", "Ү": "Y", "Ӏ": "I", "Ԛ": "Q", "Ԝ": "W",
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x",
-    "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
+    "ѕ": "s", "і": "i", "ј": "j", "ѵ": "v", "ү": "y", "һ": "h", "ӏ": "l", "ԁ": "d", "ԛ": "q", "ԝ": "w",
 }
 GREEK_SHAPES = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P",
-    "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j", "Ϲ": "C",
+    "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J", "ν": "v", "ο": "o", "ρ": "p", "ϲ": "c", "ϳ": "j",
 }
 # The default-ignorable code points (Unicode derived property), as ranges.
 IGNORABLE = [
@@ -121,12 +121,41 @@ def visual_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
 
     Texts leave the scan as three hashes; classes of one spelling are dropped by an
     aggregate before anything is joined, so rows that are only exact copies of each
-    other meet no join.  An empty table gives no pairs.
+    other meet no join.  Spellings, not rows, are paired within a class, and the rows of
+    each spelling put in last, so no candidate is made that isn't a pair of the result;
+    ``visual_members`` gives the same links without their pairs.  An empty table gives no pairs.
     """
+    kept = cut_lineage(_of_mixed(_rows(df, key, text)).select(F.col(key).alias("row"), "class_a", "class_b", "raw").distinct())
+    one = kept.select("class_a", "class_b", "raw").distinct()
+    a, b = (one.withColumnRenamed("raw", f"raw_{s}") for s in "ab")
+    spellings = a.join(b, ["class_a", "class_b"]).where("raw_a < raw_b")
+    for s in "ab":
+        spellings = spellings.join(kept.select("class_a", "class_b", F.col("raw").alias(f"raw_{s}"), F.col("row").alias(f"row_{s}")), ["class_a", "class_b", f"raw_{s}"])
+    both = spellings.where("row_a <> row_b").select(F.least("row_a", "row_b").alias(f"{key}_a"), F.greatest("row_a", "row_b").alias(f"{key}_b"))
+    return both.distinct()
+
+
+def visual_members(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows of classes with more than one spelling: ``key, look, spelling, n_spellings``, linear in the rows.
+
+    ``look`` is the smallest key of all texts that look the same, ``spelling`` the
+    smallest of those equal as strings; two rows are linked if they have one look and
+    two spellings.  Null texts, texts without a visible character and null keys are left
+    out, repeated rows count once; an empty table gives none.
+    """
+    kept = cut_lineage(_of_mixed(_rows(df, key, text)).select(F.col(key).alias("row"), "class_a", "class_b", "raw").distinct())
+    spelled = kept.groupBy("class_a", "class_b", "raw").agg(F.min("row").alias("spelling"))
+    looks = spelled.groupBy("class_a", "class_b").agg(F.min("spelling").alias("look"), F.count("*").alias("n_spellings"))
+    own = kept.join(spelled, ["class_a", "class_b", "raw"]).join(looks, ["class_a", "class_b"])
+    return own.select(F.col("row").alias(key), "look", "spelling", "n_spellings")
+
+
+def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
     # texts of no class are left out behind the cut: a filter before it would be pushed down and find each form twice
-    rows = cut_lineage(_hashed(df, key, text)).where("class_a is not null")
+    return cut_lineage(_hashed(df, key, text)).where("class_a is not null")
+
+
+def _of_mixed(rows: DataFrame) -> DataFrame:
+    """Rows of classes with more than one spelling."""
     mixed = rows.groupBy("class_a", "class_b").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("class_a", "class_b")
-    kept = rows.join(mixed, ["class_a", "class_b"], "left_semi")
-    a, b = (kept.select("class_a", "class_b", F.col(key).alias(f"{key}_{s}"), F.col("raw").alias(f"raw_{s}")) for s in "ab")
-    both = a.join(b, ["class_a", "class_b"]).where((F.col(f"{key}_a") < F.col(f"{key}_b")) & (F.col("raw_a") != F.col("raw_b")))
-    return both.select(f"{key}_a", f"{key}_b").distinct()
+    return rows.join(mixed, ["class_a", "class_b"], "left_semi")

@@ -313,7 +313,7 @@ def test_passages_end_with_their_page():
 
 @pytest.mark.parametrize(
     "a, b",
-    [("ｆｕｌｌ　１２", "full 12"), ("oﬃce ﬂag", "office flag"), ("été", "été"), ("a​b⁠﻿­͏", "ab"), ("a b c d", "a b c d"), ("сосоа", "cocoa"), ("ΑΒΕ", "ABE"), ("ё", "ë"), ("e‍́", "é")],
+    [("ｆｕｌｌ　１２", "full 12"), ("oﬃce ﬂag", "office flag"), ("été", "été"), ("a​b⁠﻿­͏", "ab"), ("a b c d", "a b c d"), ("сосоа", "cocoa"), ("ΑΒΕ", "ABE"), ("ё", "ë"), ("УҮӀ", "YYI"), ("үѵӏρ", "yvlp"), ("ѴͿϹ", "VJC"), ("e‍́", "é")],
 )
 def test_same_look(a, b):
     assert visual.canonical(a) == visual.canonical(b)
@@ -340,6 +340,21 @@ def test_visual_pairs(spark):
     assert visual.visual_pairs(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_visual_members_hold_the_same_links(spark):
+    rng = random.Random(12)
+    looks = ["page", "рage", "pаge", "ｐage", "pa\u200bge", "line one", "lіne one", "alone"]
+    rows = [(rng.randint(1, 70), rng.choice(looks)) for _ in range(90)] + [(500 + i, "twin") for i in range(300)] + [(900, "twіn"), (901, None), (None, "twin")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"look": F.lit(0), "spelling": F.lit(0)})
+    form = {(i, t): visual.canonical(t) for i, t in rows if t and i is not None}
+    want = {(i, j) for (i, t), f in form.items() for (j, u), g in form.items() if i < j and t != u and f == g}
+    assert set(map(tuple, visual.visual_pairs(df, "doc_id", "text").collect())) == want
+    members = {tuple(r) for r in visual.visual_members(df, "doc_id", "text").select("doc_id", "look", "spelling", "n_spellings").collect()}
+    mixed = {f: {t for (_, t), g in form.items() if f == g} for f in form.values()}
+    assert members == {
+        (i, min(j for (j, _), g in form.items() if g == f), min(j for (j, u), _ in form.items() if u == t), len(mixed[f])) for (i, t), f in form.items() if len(mixed[f]) > 1
+    }
+
+
 def test_folded_form(spark):
     df = spark.createDataFrame([("STRASSE",), ("Straße",), ("ＳＴＲＡＳＳＥ",), (None,)], "t string")
     assert [r["f"] for r in df.select(visual.canonical_text(F.col("t"), fold_case=True).alias("f")).collect()] == ["strasse", "strasse", "strasse", None]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -19,7 +22,7 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _SHIPPED:
         return
     package = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="nucleoframe-")) / f"{package.name}.zip"
+    target = Path(_own_folder()) / f"{package.name}.zip"
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted(package.rglob("*.py")):
             z.write(p, p.relative_to(package.parent))
@@ -32,21 +35,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there.
+def _own_folder() -> str:
+    """A folder of this machine that is removed at the end."""
+    folder = tempfile.mkdtemp(prefix="nucleoframe-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
 
-    The folder is the one of the session's ``spark.checkpoint.dir``.  Where that
-    is unset, a temporary folder serves in local mode only; a cluster must name one.
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints: that of the session's ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder serves in local mode only; a cluster must name one.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="nucleoframe-")
+            folder = _own_folder()
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new place for written tables in the shared folder."""
+    return f"{_shared_folder(spark)}/{uuid.uuid4()}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it from there."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

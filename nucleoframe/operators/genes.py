@@ -57,8 +57,9 @@ def last_exons(genes: DataFrame) -> DataFrame:
 
 def gene_report(genes: DataFrame, variants: DataFrame, variant_key: str) -> DataFrame:
     """Per gene: number of transcripts, strand, length, and of the canonical transcript the exons, their summed length and the variants."""
-    current = genes.dropDuplicates(["id"])
-    t = transcripts_of(current)
+    fields = ["display_name", "start", "end", "strand", "Transcript"]
+    first = F.min(F.struct(F.col("display_name").isNull(), *fields)).alias("g")  # of several rows of a gene the first by name and place
+    t = transcripts_of(genes.groupBy("id").agg(first).select("id", *[F.col(f"g.{c}").alias(c) for c in fields]))
     counted = t.groupBy("gene_id").agg(F.count("*").alias("transcripts"), F.max("gene_strand").alias("strand"), F.max(F.col("gene_end") - F.col("gene_start") + 1).alias("gene_length"))
     canonical = t.where("t.is_canonical = 1").select(
         "gene_id", F.col("t.id").alias("transcript_id"), F.coalesce(F.size("t.Exon"), F.lit(0)).alias("exons"),

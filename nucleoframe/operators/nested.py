@@ -150,8 +150,8 @@ class Shredded:
     """The flat tables of a nested one, built on demand: ``table(name)``.
 
     Every table has ``root_id`` (the key of the record), ``row_id`` (the row's path
-    in it), ``parent_key`` (the key field of the parent's entry, else its place, else its
-    map key), ``parent_row`` (the parent's ``row_id``), ``child_no`` (the place, from
+    in it), ``parent_key`` (the key field of the parent's entry, null where that is null; of
+    an element without key field its map key, else its place), ``parent_row`` (the parent's ``row_id``), ``child_no`` (the place, from
     1, over all entries, null ones too) and the inlined fields.  Tables are chains of
     generators over the record, without an exchange.
 
@@ -225,7 +225,7 @@ class Shredded:
         e = self.graph.elements[parent]
         label = F.coalesce(F.col(KEY), F.col(POS).cast("string"))
         if e.key:
-            label = F.coalesce(self.access.scalar(F.col("_node"), e.key, "string", self._plain(parent)).cast("string"), label)
+            label = self.access.scalar(F.col("_node"), e.key, "string", self._plain(parent)).cast("string")
         mine = [ROOT, label.alias(PARENT), F.col(ROW).alias("parent_row")]
         where = F.concat(F.col("parent_row"), F.lit(f"/{edge.name}:"), F.coalesce(F.col(KEY), F.col(POS).cast("string")))
         if edge.many:

@@ -22,12 +22,8 @@ def _clipped(regions: DataFrame, variants: DataFrame, key: str, start: str, end:
     return r.join(v, key, "left").where("r_lo is not null")
 
 
-def permitted_regions(regions: DataFrame, variants: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """``key, lo, hi``: the half-open runs of each region's positions that no variant of the same key covers.
-
-    Bounds include both ends.  Variants are sorted within a region and compared with
-    the furthest end so far, so positions are never expanded.
-    """
+def _runs(regions: DataFrame, variants: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """``key, r_lo, r_hi, lo, hi``: the permitted runs of each region."""
     rows = _clipped(regions, variants, key, start, end)
     inside = (F.col("v_lo") <= F.col("r_hi")) & (F.col("v_hi") >= F.col("r_lo"))
     # each region ends with a mark behind its last position
@@ -35,7 +31,16 @@ def permitted_regions(regions: DataFrame, variants: DataFrame, key: str, start:
     every = rows.where(inside).select(key, "r_lo", "r_hi", "v_lo", "v_hi").unionByName(marks)
     w = Window.partitionBy(key, "r_lo", "r_hi").orderBy("v_lo", "v_hi")
     upto = F.coalesce(F.max("v_hi").over(w.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.col("r_lo"))
-    return every.select(key, F.greatest(upto, F.col("r_lo")).alias("lo"), F.col("v_lo").alias("hi")).where("lo < hi").distinct()
+    return every.select(key, "r_lo", "r_hi", F.greatest(upto, F.col("r_lo")).alias("lo"), F.col("v_lo").alias("hi")).where("lo < hi").distinct()
+
+
+def permitted_regions(regions: DataFrame, variants: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """``key, lo, hi``: the half-open runs of each region's positions that no variant of the same key covers.
+
+    Bounds include both ends.  Variants are sorted within a region and compared with
+    the furthest end so far, so positions are never expanded.
+    """
+    return _runs(regions, variants, key, start, end).select(key, "lo", "hi").distinct()
 
 
 def variant_gaps(regions: DataFrame, variants: DataFrame, key: str, start: str, end: str) -> DataFrame:
@@ -57,10 +62,10 @@ def sliced_sequence(seq: Column, offset: Column, lo: Column, hi: Column, is_reve
 
 
 def permitted_sequences(regions: DataFrame, variants: DataFrame, key: str, start: str, end: str, seq: str, strand: str) -> DataFrame:
-    """``key, lo, hi, seq``: permitted runs with their part of the region's sequence."""
-    runs = permitted_regions(regions, variants, key, start, end)
-    own = ordered_bounds(regions, start, end).select(key, F.col(f"`{start}`").alias("_nf_off"), F.col(f"`{seq}`").alias("_nf_seq"), (F.col(f"`{strand}`") < 0).alias("_nf_rev")).dropDuplicates([key])
-    return runs.join(own, key).select(key, "lo", "hi", sliced_sequence(F.col("_nf_seq"), F.col("_nf_off"), F.col("lo"), F.col("hi"), F.col("_nf_rev")).alias("seq"))
+    """``key, lo, hi, seq``: permitted runs with their part of the region's sequence, for every region of a key."""
+    runs = _runs(regions, variants, key, start, end)
+    own = ordered_bounds(regions, start, end).select(key, F.col(f"`{start}`").alias("r_lo"), F.col(f"`{end}`").alias("r_hi"), F.col(f"`{seq}`").alias("_nf_seq"), (F.col(f"`{strand}`") < 0).alias("_nf_rev")).distinct()
+    return runs.join(own, [key, "r_lo", "r_hi"]).select(key, "lo", "hi", sliced_sequence(F.col("_nf_seq"), F.col("r_lo"), F.col("lo"), F.col("hi"), F.col("_nf_rev")).alias("seq")).distinct()
 
 
 def features_in_range(features: DataFrame, start: str, end: str, lo: int, hi: int) -> DataFrame:
@@ -74,13 +79,13 @@ def range_join(queries: DataFrame, features: DataFrame, key: str, query: tuple[s
 
     ``query`` names id, start and end.  Both sides are laid in bins of ``width``; a pair
     counts in the bin where the later of the two begins, so it comes out once without
-    a distinct.
+    a distinct.  Bounds in the wrong order are swapped; a row that lacks one overlaps nothing.
     """
     qid, qs, qe = query
     fs, fe = feature
     bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width)))
-    q = queries.where(f"`{qs}` <= `{qe}`").select(key, F.col(qid).alias("query_id"), F.col(qs).alias("query_start"), F.col(qe).alias("query_end"), bins(qs, qe).alias("_nf_bin"))
-    f = features.where(f"`{fs}` <= `{fe}`").withColumn("_nf_bin", bins(fs, fe))
+    q = ordered_bounds(queries, qs, qe).where(F.col(qs).isNotNull()).select(key, F.col(qid).alias("query_id"), F.col(qs).alias("query_start"), F.col(qe).alias("query_end"), bins(qs, qe).alias("_nf_bin"))
+    f = ordered_bounds(features, fs, fe).where(F.col(fs).isNotNull()).withColumn("_nf_bin", bins(fs, fe))
     hit = (F.col(fs) <= F.col("query_end")) & (F.col(fe) >= F.col("query_start")) & (F.col("_nf_bin") == F.floor(F.greatest(F.col(fs), F.col("query_start")) / width))
     return q.join(f, [key, "_nf_bin"]).where(hit).drop("_nf_bin")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nucleoframe.common import latest_rows, table  # noqa: F401
@@ -52,10 +52,13 @@ def oligos(spark: SparkSession, d: str) -> DataFrame:
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
-    """``id, info, features, seq`` of the current records."""
-    g = table(spark, d, "genbank")
-    new = g.groupBy("rec_id").agg(F.max("loaded_at").alias("loaded_at"))
-    return g.join(new, ["rec_id", "loaded_at"], "left_semi").dropDuplicates(["rec_id"]).select(F.col("rec_id").alias("id"), "info", "features", "seq")
+    """``id, info, features, seq`` of the current records; of several at the latest time that with the greatest values."""
+
+    def with_qualifiers(f: Callable[[Column], Column]) -> Column:  # maps have no order, lists of their entries do
+        return F.transform("features", lambda x: F.struct(x["type"].alias("type"), x["location"].alias("location"), f(x["qualifiers"]).alias("qualifiers"))).alias("features")
+
+    rows = table(spark, d, "genbank").select("rec_id", "loaded_at", "seq", "info", with_qualifiers(F.map_entries))
+    return latest_rows(rows, ["rec_id"], "loaded_at", ["seq", "info", "features"]).select(F.col("rec_id").alias("id"), "info", with_qualifiers(F.map_from_entries), "seq")
 
 
 def proteins(spark: SparkSession, d: str) -> DataFrame:
@@ -114,7 +117,8 @@ contigs AS (SELECT id, replace(upper(regexp_replace(seq, '[\s\d]', '', 'g')), 'U
 coding AS (SELECT id, left(seq, length(seq) - length(seq) % 3) AS seq FROM contigs),
 oligos AS (SELECT hit_id AS id, padlock_seq AS seq, seq_l, seq_r, barcode FROM padlock_hits WHERE hit_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY hit_id ORDER BY loaded_at DESC NULLS LAST) = 1),
 feats AS (SELECT id, i AS feature_no, features[i] AS f FROM recs, unnest(range(1, len(features) + 1)) AS r(i)),
-proteins AS (SELECT * FROM (SELECT id || '/' || feature_no AS id, regexp_replace(upper(f.qualifiers['translation'][1]), '[^A-Z]', '', 'g') AS aa FROM feats) WHERE aa <> ''),
+proteins AS (SELECT * FROM (SELECT id || '/' || feature_no || CASE WHEN j > 1 THEN '/' || j ELSE '' END AS id, regexp_replace(upper(v[j]), '[^A-Z]', '', 'g') AS aa
+  FROM (SELECT id, feature_no, f.qualifiers['translation'] AS v FROM feats), unnest(range(1, len(v) + 1)) AS r(j)) WHERE aa <> ''),
 genes1 AS (SELECT DISTINCT id, display_name, strand, "start", "end", seq_region_name, species, "Transcript", loaded_at FROM genes),
 tx AS (SELECT g.id AS gene_id, g.display_name, g.strand AS gene_strand, g."start" AS gene_start, g."end" AS gene_end, t.u AS t FROM genes1 g, unnest(g."Transcript") AS t(u)),
 transcripts AS (SELECT DISTINCT t.id AS parent, t."start" AS s, t."end" AS e, t.strand AS strand FROM tx),

@@ -121,9 +121,9 @@ def j1(spark: SparkSession, d: str) -> DataFrame:
     return similarity.similarity_join(_targets(spark, d, 20), "id", "t", base.contigs(spark, d), "id", "seq", 20, 0)
 
 
-@query("j2_seed_keys", "SELECT id, list_transform(range(0, 4), lambda s: {'shift': s::INT, 'look': substr(seq_l, s + 1, 3) || substr(seq_l, s + 5, 3) || substr(seq_l, s + 9, 3) || substr(seq_l, s + 13, 3)}) AS keys FROM (SELECT id, left(seq_l, 18) AS seq_l FROM oligos)")
+@query("j2_seed_keys", "SELECT id, list_transform(range(0, 6), lambda s: {'shift': s::INT, 'look': substr(seq_l, s + 1, 3) || substr(seq_l, s + 5, 3) || substr(seq_l, s + 9, 3) || substr(seq_l, s + 13, 3)}) AS keys FROM oligos")
 def j2(spark: SparkSession, d: str) -> DataFrame:
-    return base.oligos(spark, d).select("id", similarity.seed_keys(F.substring("seq_l", 1, 18), "###-###-###-###-", 18).alias("keys"))
+    return base.oligos(spark, d).select("id", similarity.seed_keys(F.col("seq_l"), "###-###-###-###-", 20).alias("keys"))
 
 
 _NEAR = 'SELECT t.id AS target_id, ref_id, "offset", hamming(t.t, w)::INT AS hd FROM targets t, win WHERE hamming(t.t, w) <= 1'
@@ -313,7 +313,8 @@ def j11(spark: SparkSession, d: str) -> DataFrame:
     return regions.features_in_range(_simple(spark, d), "start", "end", 500, 1500).select("id", "feature_no")
 
 
-@query("j11_range_join", """SELECT g.id AS gene, x.id AS exon, x.s AS start, x.e AS "end" FROM genes1 g JOIN exon_rows x ON x.seq_region_name = g.seq_region_name AND x.s <= g."end" AND x.e >= g."start" WHERE x.s <= x.e""")
+@query("j11_range_join", """SELECT g.id AS gene, x.id AS exon, least(x.s, x.e) AS start, greatest(x.s, x.e) AS "end" FROM genes1 g JOIN exon_rows x ON x.seq_region_name = g.seq_region_name
+ AND least(x.s, x.e) <= greatest(g."start", g."end") AND greatest(x.s, x.e) >= least(g."start", g."end") WHERE x.s + x.e + g."start" + g."end" IS NOT NULL""")
 def j11r(spark: SparkSession, d: str) -> DataFrame:
     j = regions.range_join(base.genes(spark, d), base.exons(spark, d), "seq_region_name", ("id", "start", "end"), ("start", "end"))
     return j.select(F.col("query_id").alias("gene"), F.col("id").alias("exon"), "start", "end")
@@ -418,13 +419,13 @@ def _with_sequence(spark: SparkSession, d: str) -> DataFrame:
 _SEQ = "substr(repeat('ACCGTTTGAC', ((re - rs + 10) // 10)::INT), (CASE WHEN strand < 0 THEN (re - rs + 1) - (hi - rs) ELSE lo - rs END)::INT + 1, (hi - lo)::INT)"
 
 
-@query("e5_sliced_sequence", """SELECT parent, s + 10 AS lo, s + 25 AS hi, substr(repeat('ACCGTTTGAC', ((e - s + 10) // 10)::INT), (CASE WHEN strand < 0 THEN (e - s + 1) - 25 ELSE 10 END)::INT + 1, 15) AS seq FROM transcripts WHERE e - s < 100000 AND e - s > 30""")
+@query("e5_sliced_sequence", """SELECT parent, s + 10 AS lo, s + 25 AS hi, substr(repeat('ACCGTTTGAC', ((e - s + 10) // 10)::INT), (CASE WHEN strand < 0 THEN (e - s + 1) - 25 ELSE 10 END)::INT + 1, 15) AS seq FROM transcripts WHERE e - s > 30""")
 def e5(spark: SparkSession, d: str) -> DataFrame:
     t = _with_sequence(spark, d).where(F.col("end") - F.col("start") > 30).withColumns({"lo": F.col("start") + 10, "hi": F.col("start") + 25})
     return t.select("parent", "lo", "hi", regions.sliced_sequence(F.col("seq"), F.col("start"), F.col("lo"), F.col("hi"), F.col("strand") < 0).alias("seq"))
 
 
-@query("e6_permitted_sequences", _PERMITTED + f"SELECT DISTINCT parent, lo, hi, {_SEQ} AS seq FROM runs WHERE lo < hi AND re - rs < 100000")
+@query("e6_permitted_sequences", _PERMITTED + f"SELECT DISTINCT parent, lo, hi, {_SEQ} AS seq FROM runs WHERE lo < hi")
 def e6(spark: SparkSession, d: str) -> DataFrame:
     return regions.permitted_sequences(_with_sequence(spark, d), base.exons(spark, d), "parent", "start", "end", "seq", "strand")
 
@@ -744,13 +745,10 @@ def io27(spark: SparkSession, d: str) -> DataFrame:
 
 @query("st1_stream_columns", "SELECT hit_id, reverse(translate(seq_l, 'ACGT', 'TGCA')) AS rc FROM padlock_hits")
 def st1(spark: SparkSession, d: str) -> DataFrame:
-    """A stream of probes with a column function, run over all that is there."""
+    """A stream of probes with a column function, run over all that is there, into files."""
     from nucleoframe.functions.seq import simple_reverse_complement
     from nucleoframe.streaming import stateless
 
-    path = f"{d}/padlock_hits.parquet"
-    schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if "check" in d else d + "/padlock_hits*.parquet")
+    stream = stateless.parquet_stream(spark, f"{d}/padlock_hits.parquet")
     out = stateless.with_columns(stream, {"rc": lambda: simple_reverse_complement(F.col("seq_l"))}).select("hit_id", "rc")
-    stateless.to_memory(out, "st1_stream_columns").stop()
-    return spark.table("st1_stream_columns")
+    return stateless.to_files(out)

@@ -219,3 +219,18 @@ def test_contained(spark):
     got = {x["k"]: (x["found"], x["place"]) for x in regions.contained(q, r, "k", "q", "s", "ref", "rs").collect()}
     assert got == {"t": (True, 2), "u": (False, None)}
     assert reverse_complement is not None
+
+
+def test_sequences_of_a_key_with_two_regions(spark):
+    """Each region of a key has its own offset and sequence."""
+    r = spark.createDataFrame([("t", 10, 14, "ACGTA", 1), ("t", 114, 110, "GGCCT", -1), ("u", None, 5, "AC", 1)], "k string, s long, e long, seq string, strand int")
+    v = spark.createDataFrame([("t", 12, 12), ("t", 111, 111), ("t", None, 3)], "k string, s long, e long")
+    got = sorted(map(tuple, regions.permitted_sequences(r, v, "k", "s", "e", "seq", "strand").collect()))
+    assert got == [("t", 10, 12, "AC"), ("t", 13, 15, "TA"), ("t", 110, 111, "T"), ("t", 112, 115, "GGC")]
+
+
+def test_range_join_swaps_bounds(spark):
+    q = spark.createDataFrame([("g", "1", 100, 200), ("h", "1", 300, 250), ("n", "1", None, 9)], "id string, c string, s long, e long")
+    f = spark.createDataFrame([("x", "1", 210, 190), ("y", "1", 260, 255), ("z", "1", 5, None)], "fid string, c string, a long, b long")
+    j = regions.range_join(q, f, "c", ("id", "s", "e"), ("a", "b"))
+    assert sorted((r["query_id"], r["fid"]) for r in j.collect()) == [("g", "x"), ("h", "y")]

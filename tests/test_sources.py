@@ -90,3 +90,14 @@ def test_stream(spark, tmp_path):
     assert spark.table("matched").count() == 2
     stateless.to_memory(stateless.windowed_counts(stream, "t", "1 hour", "1 minute", ["k"]), "counted", "complete").stop()
     assert {r["k"]: r["n"] for r in spark.table("counted").collect()} == {"a": 2, "b": 1}
+
+
+def test_streams_of_a_file_and_of_a_folder(spark, tmp_path):
+    from nucleoframe.streaming import stateless
+
+    spark.createDataFrame([(1, "a"), (2, None)], "k int, v string").coalesce(1).write.parquet(str(tmp_path / "folder.parquet"))
+    next((tmp_path / "folder.parquet").glob("*.parquet")).rename(tmp_path / "file.parquet")
+    spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "k int, v string").repartition(2).write.mode("overwrite").parquet(str(tmp_path / "folder.parquet"))
+    for name, n in (("file", 2), ("folder", 3)):
+        got = stateless.to_files(stateless.parquet_stream(spark, str(tmp_path / f"{name}.parquet")))
+        assert sorted(r["k"] for r in got.collect()) == list(range(1, n + 1))

@@ -35,6 +35,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
 
 
+def p7_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages with at most one word changed, put in or left out."""
+    return find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text", max_edits=1)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visual_pairs(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -44,7 +49,7 @@ def p8_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p5_found, p6_packed, p7_found, p8_found, p8_members)}
+    return {f.__name__: f for f in (p1_found, p2_found, p5_found, p6_packed, p7_found, p7_edits, p8_found, p8_members)}
 
 
 P1_SQL = r"""

@@ -23,6 +23,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_records(table(spark, sf_dir, "genbank"))
 
 
+def p2_bisected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of about equal size by recursive bisection."""
+    return split_records(table(spark, sf_dir, "genbank"), bisect=True)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_bases(table(spark, sf_dir, "genbank"))
 
@@ -49,7 +54,7 @@ def p8_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p5_found, p6_packed, p7_found, p7_edits, p8_found, p8_members)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_bisected, p5_found, p6_packed, p7_found, p7_edits, p8_found, p8_members)}
 
 
 P1_SQL = r"""

@@ -1,16 +1,18 @@
 """Splitting oversized items at natural boundaries (problem 2).
 
-The list names recursive bisection.  The required pieces are defined from left to
-right (each ends at the last natural cut within the limit, and the next start
-depends on that end), which cuts chosen near a midpoint can't reproduce, so the
-cuts are placed in one pass from the left.
+``bisect_oversized`` is recursive bisection: it cuts at the strongest boundary near the
+midpoint and goes on with both halves.  The pieces that ``p2_found`` requires are
+defined from left to right (each ends at the last natural cut within the limit, and
+the next start depends on that end), which cuts chosen near a midpoint can't
+reproduce, so ``split_oversized`` places those in one pass from the left.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +49,36 @@ def pieces(length: int, spans: list[tuple[int, int]], limit: int, overlap: int)
     yield start, length
 
 
+def halves(length: int, spans: list[tuple[int, int]], limit: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Pieces of recursive bisection, each with ``overlap`` positions of the one before it.
+
+    The strength of a cut is minus the number of spans it goes through.  A stretch above
+    ``limit - overlap`` is cut in its middle third, where the cut is strongest, of
+    equal ones nearest to the midpoint, then leftmost.
+    """
+    at, step = np.unique([x for a, b in spans if b > a for x in (a, b)], return_inverse=True)
+    depth = np.zeros(len(at), np.int64)
+    np.add.at(depth, step, [s for a, b in spans if b > a for s in (1, -1)])
+    # runs of cuts of one strength: run i goes from edges[i] up to before edges[i + 1]; the cut p lies behind position p
+    edges, depth = np.concatenate(([-1], at)), np.concatenate(([0], np.cumsum(depth)))
+    todo = [(1, length)]
+    while todo:
+        a, b = todo.pop()
+        size = b - a + 1
+        if size <= limit - overlap:
+            yield max(1, a - overlap), b
+            continue
+        lo, hi, mid = a - 1 + max(1, size // 3), b - max(1, size // 3), a - 1 + size // 2
+        i, j = np.searchsorted(edges, (lo, hi), "right")
+        own = np.arange(i - 1, j)
+        own = own[depth[own] == depth[own].min()]
+        left = np.maximum(edges[own], lo)
+        right = np.minimum(np.append(edges, length)[own + 1] - 1, hi)
+        best = np.clip(mid, left, right)
+        cut = int(best[np.argmin(np.abs(best - mid))])
+        todo += [(cut + 1, b), (a, cut)]
+
+
 def split_oversized(df: DataFrame, key: str, length: str, first: str, last: str, limit: int = 2000, overlap: int = 100) -> DataFrame:
     """Consecutive pieces of every row longer than ``limit``: ``key, piece_no, start_pos, end_pos``.
 
@@ -62,6 +94,20 @@ def split_oversized(df: DataFrame, key: str, length: str, first: str, last: str,
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and less than limit")
+    return _cut(df, key, length, first, last, limit, lambda n, spans: pieces(n, spans, limit, overlap))
+
+
+def bisect_oversized(df: DataFrame, key: str, length: str, first: str, last: str, limit: int = 2000, overlap: int = 100) -> DataFrame:
+    """Like ``split_oversized``, by recursive bisection: pieces of about equal size, the cuts through the fewest spans.
+
+    Every piece is at most ``limit`` long and shares ``overlap`` positions with the one before; awkward input as there.
+    """
+    if not 0 <= overlap <= limit - 3:
+        raise ValueError("overlap must be at least 0 and 3 less than limit")
+    return _cut(df, key, length, first, last, limit, lambda n, spans: halves(n, spans, limit, overlap))
+
+
+def _cut(df: DataFrame, key: str, length: str, first: str, last: str, limit: int, places: Callable[[int, list[tuple[int, int]]], Iterator[tuple[int, int]]]) -> DataFrame:
     kind = dict(df.dtypes)[key]
     rows = df.where(F.col(f"`{length}`") > limit).select(
         F.col(f"`{key}`").alias("key"), F.col(f"`{length}`").cast("int").alias("n"), F.col(f"`{first}`").alias("first"), F.col(f"`{last}`").alias("last")
@@ -72,7 +118,7 @@ def split_oversized(df: DataFrame, key: str, length: str, first: str, last: str,
             keys, no, start, end = [], [], [], []
             for k, n, f, t in zip(b["key"], b["n"], b["first"], b["last"]):
                 spans = [(int(x), int(y)) for x, y in zip(f, t) if x == x and y == y and x is not None and y is not None] if f is not None and t is not None else []
-                for i, (s, e) in enumerate(pieces(int(n), spans, limit, overlap), 1):
+                for i, (s, e) in enumerate(places(int(n), spans), 1):
                     keys.append(k)
                     no.append(i)
                     start.append(s)
@@ -99,14 +145,14 @@ def location_bases(location: Column) -> Column:
     return F.regexp_extract_all(own, F.lit(r"(\d+)"), F.lit(1)).cast("array<bigint>")
 
 
-def split_records(genbank: DataFrame, limit: int = 2000, overlap: int = 100) -> DataFrame:
+def split_records(genbank: DataFrame, limit: int = 2000, overlap: int = 100, bisect: bool = False) -> DataFrame:
     """Pieces of the current row of every record, cut outside its features where possible.
 
     Input: ``rec_id, features, seq, loaded_at``.  Lengths and spans are taken from
     each row where it lies, so the exchange that finds the current rows carries no
     sequence.  A feature other than ``source`` covers everything from its lowest to
     its highest base; without a location, or with parts in other records only, nothing.
-    Records without sequence have no pieces.
+    Records without sequence have no pieces.  ``bisect`` cuts by recursive bisection.
     """
     covering = F.filter(
         F.transform(
@@ -119,4 +165,5 @@ def split_records(genbank: DataFrame, limit: int = 2000, overlap: int = 100) ->
         "rec_id", "loaded_at", F.length(sequence_letters(F.col("seq"))).alias("n"),
         F.transform(covering, lambda x: F.array_min(x)).alias("first"), F.transform(covering, lambda x: F.array_max(x)).alias("last"),
     )
-    return split_oversized(latest_rows(flat, ["rec_id"], "loaded_at", ["n", "first", "last"]), "rec_id", "n", "first", "last", limit, overlap)
+    cut = bisect_oversized if bisect else split_oversized
+    return cut(latest_rows(flat, ["rec_id"], "loaded_at", ["n", "first", "last"]), "rec_id", "n", "first", "last", limit, overlap)

@@ -88,6 +88,38 @@ def test_split_rows(spark):
     assert split.split_oversized(df.limit(0), "id", "n", "a", "b").count() == 0
 
 
+def halves_brute(n, spans, limit, overlap):
+    """The same rule, with every cut tried."""
+    def go(a, b):
+        size = b - a + 1
+        if size <= limit - overlap:
+            return [(max(1, a - overlap), b)]
+        mid = a - 1 + size // 2
+        cut = min(range(a - 1 + max(1, size // 3), b - max(1, size // 3) + 1), key=lambda p: (sum(x <= p < y for x, y in spans), abs(p - mid), p))
+        return go(a, cut) + go(cut + 1, b)
+
+    return go(1, n)
+
+
+def test_halves_against_trying_every_cut():
+    rng = random.Random(6)
+    for _ in range(300):
+        n = rng.randint(10, 160)
+        spans = [(a, a + rng.randint(-2, 30)) for a in (rng.randint(-5, n + 5) for _ in range(rng.randint(0, 8)))]
+        limit, overlap = rng.choice([(20, 4), (9, 0), (12, 9)])
+        got = list(split.halves(n, spans, limit, overlap))
+        assert got == halves_brute(n, spans, limit, overlap), (n, spans, limit, overlap)
+        assert got[0][0] == 1 and got[-1][1] == n and all(b - a < limit for a, b in got) and all(y[0] == max(1, x[1] + 1 - overlap) for x, y in zip(got, got[1:]))
+
+
+def test_bisected_rows(spark):
+    df = spark.createDataFrame([(1, 100, [10, None], [60, 5]), (2, 20, [], []), (3, None, None, None), (None, 50, None, None), (1, 100, [10, None], [60, 5])], "id long, n int, a array<int>, b array<int>").withColumn("piece_no", F.lit(7))
+    rows = [tuple(r) for r in split.bisect_oversized(df, "id", "n", "a", "b", 20, 5).collect()]
+    want = halves_brute(100, [(10, 60)], 20, 5)
+    assert sorted(r[2:] for r in rows if r[0] == 1) == sorted(want * 2) and {r[0] for r in rows} == {1, None}
+    assert split.bisect_oversized(df.limit(0), "id", "n", "a", "b").count() == 0
+
+
 # 5
 
 

@@ -47,8 +47,8 @@ def reverse_translate(aa: Column, key: Column, seed: int = 0, rna: bool = False)
 
 
 def codon_frequencies(counts: DataFrame, by: list[str], count: str = "n") -> DataFrame:
-    """Share of each codon among those of its amino acid: adds ``freq``."""
-    return counts.withColumn("freq", F.col(count) / F.sum(count).over(Window.partitionBy(*by)))
+    """Share of each codon among those of its amino acid: adds ``freq``, null where none of them occurs."""
+    return counts.withColumn("freq", F.try_divide(F.col(count), F.sum(count).over(Window.partitionBy(*by))))
 
 
 def codon_usage(coding: DataFrame, key: str, seq: str, group: str) -> DataFrame:

@@ -73,3 +73,11 @@ def exon_offsets(genes: DataFrame) -> DataFrame:
     """``gene_id, transcript_id, exon_no, exon_id, from_gene_start, length``: exons in places relative to their gene."""
     e = transcripts_of(genes).select("gene_id", "gene_start", F.col("t.id").alias("transcript_id"), F.posexplode("t.Exon").alias("_i", "e"))
     return e.select("gene_id", "transcript_id", (F.col("_i") + 1).alias("exon_no"), F.col("e.id").alias("exon_id"), (F.col("e.start") - F.col("gene_start")).alias("from_gene_start"), (F.col("e.end") - F.col("e.start") + 1).alias("length"))
+
+
+def typed(rows: DataFrame) -> DataFrame:
+    """Genes, transcripts or exons with ``idxs`` (first and last place), ``is_fwd``, ``is_rev`` and ``chromosome`` (a number, else null)."""
+    return rows.withColumns({
+        "idxs": F.struct(F.col("start").alias("lo"), F.col("end").alias("hi")), "is_fwd": F.col("strand") == 1, "is_rev": F.col("strand") == -1,
+        "chromosome": F.col("seq_region_name").try_cast("int"),
+    })

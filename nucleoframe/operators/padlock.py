@@ -6,13 +6,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from nucleoframe.functions.metrics import gc_content, left_arm_clamp, right_arm_clamp
 from nucleoframe.functions.thermo import ENTHALPY, ENTROPY, GAS, KELVIN, dimer_tm, heterodimer_proxy, melting_temperature
+from nucleoframe.operators.genes import transcripts_of
 from nucleoframe.operators.kmers import CODES, per_record
+from nucleoframe.operators.regions import permitted_sequences
 
 _HEAT = np.array([ENTHALPY[a + b] for a in "ACGT" for b in "ACGT"])
 _DISORDER = np.array([ENTROPY[a + b] for a in "ACGT" for b in "ACGT"])
@@ -153,3 +155,60 @@ def design(records: DataFrame, key: str, seq: str, scaffold_seq: str, p: Screen
     rest = records.join(first.select(key).distinct(), key, "left_anti")
     again = Screen(**{**p.__dict__, "gc_max": relaxed_gc})
     return first.unionByName(generate_padlocks(rest, key, seq, scaffold_seq, again).withColumn("relaxed", F.lit(True)))
+
+
+def target_segments(genes: DataFrame, variants: DataFrame, variant_key: str, sequences: DataFrame, arm: int = 20, three_prime: int = 10) -> DataFrame:
+    """``gene_id, transcript_id, exon_id, strand_dir, genome_idx, seq``: where the probes of each gene may lie.
+
+    Of the gene's canonical transcript (the first listed) the last exon is taken, without the
+    variants of the transcript, as segments from 5' to 3'.  Segments of up to two arms
+    are left out, the last ``three_prime`` permitted bases too: a segment that reaches
+    into them is trimmed, or left out if less than two arms remain.  ``genome_idx`` is the
+    lowest place of a segment.  ``sequences``: ``exon_id, seq`` in the direction of the strand.
+    """
+    t = transcripts_of(genes).where("t.is_canonical = 1").groupBy("gene_id").agg(F.min(F.struct("t.id", "t.strand", F.try_element_at(F.col("t.Exon"), F.lit(-1)).alias("e"))).alias("x"))
+    exons = t.select("gene_id", F.col("x.id").alias("transcript_id"), F.col("x.strand").alias("strand"), F.col("x.e.id").alias("exon_id"), F.col("x.e.start").alias("start"), F.col("x.e.end").alias("end"))
+    whole = exons.join(sequences, "exon_id").select("transcript_id", "start", "end", "strand", "seq")
+    v = variants.select(F.col(variant_key).alias("transcript_id"), "start", "end")
+    runs = permitted_sequences(whole, v, "transcript_id", "start", "end", "seq", "strand")
+    own = exons.select("gene_id", "transcript_id", "exon_id", "strand", F.least("start", "end").alias("_lo"), F.greatest("start", "end").alias("_hi"))
+    rows = runs.join(own, "transcript_id").where("lo >= _lo and hi <= _hi + 1").withColumn("n", F.length("seq"))
+    along = Window.partitionBy("gene_id").orderBy(F.when(F.col("strand") < 0, -F.col("lo")).otherwise(F.col("lo")))
+    before = F.coalesce(F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    room = F.sum("n").over(Window.partitionBy("gene_id")) - three_prime - before
+    kept = rows.withColumn("keep", F.least(F.col("n"), room).cast("int")).where((F.col("n") > 2 * arm) & ((F.col("keep") == F.col("n")) | (F.col("keep") >= 2 * arm)))
+    return kept.select(
+        "gene_id", "transcript_id", "exon_id", F.when(F.col("strand") == 1, "fwd").otherwise("rev").alias("strand_dir"),
+        F.when(F.col("strand") < 0, F.col("lo") + F.col("n") - F.col("keep")).otherwise(F.col("lo")).alias("genome_idx"), F.substr("seq", F.lit(1), F.col("keep")).alias("seq"),
+    )
+
+
+def design_for_genes(segments: DataFrame, template: str, barcodes: list[str], p: Screen = Screen(), relaxed_gc: float = 0.65) -> DataFrame:
+    """The probes of every gene's segments; genes without any are tried once more with a higher limit of G and C (``relaxed``).
+
+    Every gene has one of the barcodes (a constant list), by a hash of its id, in its scaffold.  ``idx`` counts within the segment.
+    """
+    bar = F.get(F.array(*[F.lit(b) for b in barcodes]), F.pmod(F.xxhash64("gene_id"), F.lit(len(barcodes))).cast("int"))
+    rows = segments.withColumn("barcode", bar).withColumn("scaffold", scaffold(template, F.col("barcode")))
+    key = F.struct("gene_id", "transcript_id", "exon_id", "strand_dir", "genome_idx", "barcode", "scaffold")
+    rows = rows.select("gene_id", key.alias("k"), F.concat("scaffold", F.lit("|"), "seq").alias("both"))
+    fields = "idx int, group_start int, seq_l string, seq_r string, gc_l double, gc_r double, tm_l double, tm_r double, score double"
+
+    def tried(own: DataFrame, screen: Screen, relaxed: bool) -> DataFrame:
+        def work(t: str) -> dict[str, list]:
+            s, _, seq = t.partition("|")
+            return _scan(seq, s, screen)
+
+        return per_record(own, "k", "both", work, fields).select("k.*", "idx", "group_start", "seq_l", "seq_r", "tm_l", "tm_r", "score", F.concat("seq_r", "k.scaffold", "seq_l").alias("padlock_seq"), F.lit(relaxed).alias("relaxed"))
+
+    first = tried(rows, p, False)
+    rest = rows.join(first.select("gene_id").distinct(), "gene_id", "left_anti")
+    return first.unionByName(tried(rest, Screen(**{**p.__dict__, "gc_max": relaxed_gc}), True))
+
+
+def padlock_table(hits: DataFrame) -> DataFrame:
+    """The 14 columns of a padlock file, the arms' temperatures computed from their sequences, to three decimals."""
+    names = {"gene": "gene_name", "idx": "index", "padlock_seq": "sequence", "seq_r": "right_arm", "seq_l": "left_arm"}
+    cols = ["gene", "name0", "name1", "strand_dir", "genome_idx", "idx", "gap_size", "padlock_seq", "barcode", "seq_r", "scaffold", "seq_l"]
+    tms = [F.round(melting_temperature(F.col(c)), 3).alias(n) for c, n in (("seq_r", "right_tm"), ("seq_l", "left_tm"))]
+    return hits.select(*[F.col(c).alias(names.get(c, c)) for c in cols], *tms)

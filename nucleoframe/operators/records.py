@@ -134,3 +134,37 @@ def feature_types(features: DataFrame) -> DataFrame:
 def collect_features(features: DataFrame, key: str) -> DataFrame:
     """One row per record with its features in order of start and end."""
     return features.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "end", "type", "location"))).alias("features"))
+
+
+FEATURE = ["start", "end", "type", "location"]
+
+
+def insert_features(features: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Features of every record with further ones, numbered (``feature_no`` from 1) in order of start, end, type and location.
+
+    Columns that only one side has are null on the other.  A record may have new features only.
+    """
+    every = features.drop("feature_no").unionByName(new.drop("feature_no"), allowMissingColumns=True)
+    return every.withColumn("feature_no", F.row_number().over(Window.partitionBy(key).orderBy(*FEATURE)))
+
+
+def _numbered(features: DataFrame, key: str) -> DataFrame:
+    """Equal features of a record get numbers, so that one of them can be told from the next; nulls become comparable."""
+    same = [key, *FEATURE]
+    sign = F.to_json(F.struct(*same), {"ignoreNullFields": "false"})
+    return features.withColumn("_nf_sign", sign).withColumn("_nf_no", F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(1))))
+
+
+def remove_features(features: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Features without those of ``gone``: for each row of it one feature with equal key, start, end, type and location."""
+    return _numbered(features, key).join(_numbered(gone, key).select("_nf_sign", "_nf_no"), ["_nf_sign", "_nf_no"], "left_anti").drop("_nf_sign", "_nf_no")
+
+
+def absent_features(features: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Rows of ``gone`` that ``remove_features`` finds no feature for."""
+    return remove_features(gone, features, key)
+
+
+def features_by_type(features: DataFrame, key: str) -> DataFrame:
+    """``key, type, n, places``: the index of each record's features by type, places (start, end) in order."""
+    return features.groupBy(key, "type").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("start", "end"))).alias("places"))

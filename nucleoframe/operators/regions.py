@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nucleoframe.functions.seq import reverse_complement
+from nucleoframe.operators.islands import periods_and_gaps
 
 
 def ordered_bounds(df: DataFrame, start: str, end: str) -> DataFrame:
@@ -54,6 +55,15 @@ def variant_positions(variants: DataFrame, key: str, start: str, end: str) -> Da
     return v.where(F.col(f"`{start}`").isNotNull()).select(key, F.explode(F.sequence(F.col(f"`{start}`"), F.col(f"`{end}`"))).alias("position")).distinct()
 
 
+def position_difference(regions: DataFrame, variants: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """``key, lo, hi``: the set of positions of all regions of a key less those of its variants, as maximal half-open runs.
+
+    Like ``permitted_regions`` over the union of a key's regions; positions are never listed.
+    """
+    union = periods_and_gaps(regions, [key], start, end).where("kind = 'period'")
+    return permitted_regions(union.select(key, F.col("start_pos").alias(start), F.col("end_pos").alias(end)), variants, key, start, end)
+
+
 def sliced_sequence(seq: Column, offset: Column, lo: Column, hi: Column, is_reverse: Column) -> Column:
     """The part of a region's sequence for genomic positions ``lo`` up to before ``hi``; a reverse region's sequence runs from its high end down."""
     n = F.length(seq)

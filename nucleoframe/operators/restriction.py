@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +16,25 @@ from nucleoframe.operators.kmers import per_record
 _RC = str.maketrans(IUPAC, IUPAC_COMPLEMENT)
 # Bases an IUPAC letter stands for.
 BASES = {"A": "A", "C": "C", "G": "G", "T": "T", "R": "[AG]", "Y": "[CT]", "K": "[GT]", "M": "[AC]", "S": "[GC]", "W": "[AT]", "B": "[GTC]", "D": "[GAT]", "H": "[ACT]", "V": "[GCA]"}
-# Public recognition sites in the usual shorthand.
+# Public recognition sites of common enzymes in the usual shorthand; others come from a file (sources.tables).
 ENZYMES = {
-    "BaeI": "(10/15)ACNNNNGTAYC(12/7)", "BamHI": "G^GATCC", "BbsI": "GAAGAC(2/6)", "BglI": "GCCNNNN^NGGC", "BsaI": "GGTCTC(1/5)",
-    "BsmBI": "CGTCTC(1/5)", "BssSI": "CACGAG(-5/-1)", "EcoRI": "G^AATTC", "EcoRV": "GAT^ATC", "FokI": "GGATG(9/13)",
-    "HindIII": "A^AGCTT", "HinfI": "G^ANTC", "KpnI": "GGTAC^C", "MboI": "^GATC", "MlyI": "GAGTC(5/5)",
-    "NdeI": "CA^TATG", "NotI": "GC^GGCCGC", "PstI": "CTGCA^G", "SfiI": "GGCCNNNN^NGGCC", "SmaI": "CCC^GGG", "TaqI": "T^CGA", "XhoI": "C^TCGAG",
+    "AatII": "GACGT^C", "AccI": "GT^MKAC", "AciI": "CCGC(-3/-1)", "AclI": "AA^CGTT", "AcuI": "CTGAAG(16/14)", "AfeI": "AGC^GCT",
+    "AflII": "C^TTAAG", "AgeI": "A^CCGGT", "AluI": "AG^CT", "AlwI": "GGATC(4/5)", "ApaI": "GGGCC^C", "ApaLI": "G^TGCAC",
+    "AscI": "GG^CGCGCC", "AseI": "AT^TAAT", "AvaI": "C^YCGRG", "AvaII": "G^GWCC", "AvrII": "C^CTAGG",
+    "BaeI": "(10/15)ACNNNNGTAYC(12/7)", "BamHI": "G^GATCC", "BanI": "G^GYRCC", "BanII": "GRGCY^C", "BbsI": "GAAGAC(2/6)", "BbvI": "GCAGC(8/12)",
+    "BclI": "T^GATCA", "BfaI": "C^TAG", "BglI": "GCCNNNN^NGGC", "BglII": "A^GATCT", "BlpI": "GC^TNAGC", "BsaI": "GGTCTC(1/5)",
+    "BsmBI": "CGTCTC(1/5)", "BsmFI": "GGGAC(10/14)", "BspEI": "T^CCGGA", "BspHI": "T^CATGA", "BsrGI": "T^GTACA", "BssHII": "G^CGCGC",
+    "BssSI": "CACGAG(-5/-1)", "BstBI": "TT^CGAA", "BstEII": "G^GTNACC", "BstXI": "CCANNNNN^NTGG", "ClaI": "AT^CGAT", "CviQI": "G^TAC",
+    "DdeI": "C^TNAG", "DpnI": "GA^TC", "DpnII": "^GATC", "DraI": "TTT^AAA", "DraIII": "CACNNN^GTG", "EagI": "C^GGCCG", "EarI": "CTCTTC(1/4)",
+    "EcoRI": "G^AATTC", "EcoRV": "GAT^ATC", "FokI": "GGATG(9/13)", "FseI": "GGCCGG^CC", "FspI": "TGC^GCA", "HaeII": "RGCGC^Y",
+    "HaeIII": "GG^CC", "HhaI": "GCG^C", "HincII": "GTY^RAC", "HindIII": "A^AGCTT", "HinfI": "G^ANTC", "HpaI": "GTT^AAC", "HpaII": "C^CGG",
+    "KasI": "G^GCGCC", "KpnI": "GGTAC^C", "MboI": "^GATC", "MfeI": "C^AATTG", "MluI": "A^CGCGT", "MlyI": "GAGTC(5/5)", "MseI": "T^TAA",
+    "MspI": "C^CGG", "NaeI": "GCC^GGC", "NarI": "GG^CGCC", "NcoI": "C^CATGG", "NdeI": "CA^TATG", "NheI": "G^CTAGC", "NlaIII": "CATG^",
+    "NotI": "GC^GGCCGC", "NruI": "TCG^CGA", "NsiI": "ATGCA^T", "PacI": "TTAAT^TAA", "PciI": "A^CATGT", "PmeI": "GTTT^AAAC", "PstI": "CTGCA^G",
+    "PvuI": "CGAT^CG", "PvuII": "CAG^CTG", "RsaI": "GT^AC", "SacI": "GAGCT^C", "SacII": "CCGC^GG", "SalI": "G^TCGAC", "SapI": "GCTCTTC(1/4)",
+    "SbfI": "CCTGCA^GG", "ScaI": "AGT^ACT", "SfiI": "GGCCNNNN^NGGCC", "SmaI": "CCC^GGG", "SnaBI": "TAC^GTA", "SpeI": "A^CTAGT",
+    "SphI": "GCATG^C", "SspI": "AAT^ATT", "StuI": "AGG^CCT", "StyI": "C^CWWGG", "SwaI": "ATTT^AAAT", "TaqI": "T^CGA", "XbaI": "T^CTAGA",
+    "XhoI": "C^TCGAG", "XmaI": "C^CCGGG", "XmnI": "GAANN^NNTTC",
 }
 _SHORT = re.compile(r"(?:\((-?\d+)/(-?\d+)\))?([A-Z^]+)(?:\((-?\d+)/(-?\d+)\))?")
 SITE_FIELDS = (
@@ -93,12 +108,70 @@ def sites_of(names: list[str] | None = None, known: dict[str, str] | None = None
 
 def enzyme_table(spark: SparkSession, names: list[str] | None = None, known: dict[str, str] | None = None, compat: bool = False) -> DataFrame:
     """The dimension table of sites, one row per enzyme and site."""
-    pair = lambda s: None if s is None else [s, flipped(s)]
-    rows = [
-        (s.enzyme, s.cutsite_no, s.shorthand, pair(s.core), pair(s.full), list(p) if (p := s.patterns(False)) else None, list(p) if (p := s.patterns()) else None, list(s.cut_fwd), list(s.cut_rev))
-        for s in sites_of(names, known, compat)
-    ]
-    return spark.createDataFrame(rows, SITE_FIELDS)
+    return spark.createDataFrame([site_row(s) for s in sites_of(names, known, compat)], SITE_FIELDS)
+
+
+GOLDEN = ("EcoRI", "BsaI", "BaeI")
+
+
+def enzyme_dataset(records: DataFrame, name: str, sites: str, availability: str, compat: bool = False) -> DataFrame:
+    """The dimension table of a table of enzymes: ``SITE_FIELDS`` and ``availability``, one row per enzyme and site.
+
+    Several sites in one field are separated by commas; an unknown site (``?``) has null
+    sequences; a null or empty field gives no row, one that is no site an error.
+    """
+    own = records.select(F.col(name).alias("enzyme"), F.col(availability).alias("availability"), F.col(sites).alias("sites")).where("trim(sites) <> ''")
+
+    types = site_types()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(s, a) for e, a, x in zip(*(c.to_pylist() for c in b.columns)) for i, t in enumerate(x.split(",")) for s, a in [(parse_site(t, e, i, compat), a)]]
+            cols = list(zip(*[(*site_row(s), a) for s, a in rows])) or [()] * (len(types) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [*types.values(), pa.string()])], [*types, "availability"])
+
+    return own.mapInArrow(run, SITE_FIELDS + ", availability string")
+
+
+def site_types() -> dict[str, pa.DataType]:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return {f.name: f.type for f in to_arrow_schema(StructType.fromDDL(SITE_FIELDS))}
+
+
+def site_row(s: Site) -> tuple:
+    """A site as the values of ``SITE_FIELDS``."""
+    pair = lambda x: None if x is None else [x, flipped(x)]
+    return (s.enzyme, s.cutsite_no, s.shorthand, pair(s.core), pair(s.full), list(p) if (p := s.patterns(False)) else None, list(p) if (p := s.patterns()) else None, list(s.cut_fwd), list(s.cut_rev))
+
+
+def wrong_sites(dataset: DataFrame, compat: bool = False) -> DataFrame:
+    """``enzyme, field``: what differs of the known enzymes ``GOLDEN`` in a dataset; a missing enzyme is its field ``enzyme``."""
+    spark = dataset.sparkSession
+    known = enzyme_table(spark, list(GOLDEN), compat=compat)
+    fields = [c for c in known.columns if c not in ("enzyme", "cutsite_no")]
+    own = dataset.select("enzyme", "cutsite_no", *[F.col(c).alias(f"_{c}") for c in fields], F.lit(True).alias("_there"))
+    both = known.join(own, ["enzyme", "cutsite_no"], "left")
+    wrong = F.when(F.col("_there").isNull(), F.array(F.lit("enzyme"))).otherwise(F.filter(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"_{c}")), c) for c in fields]), lambda x: x.isNotNull()))
+    return both.select("enzyme", F.explode(wrong).alias("field"))
+
+
+def build_enzyme_dataset(records: DataFrame, name: str, sites: str, availability: str, path: str) -> DataFrame:
+    """Write the dimension table of ``records`` to ``path``, if its known enzymes are right, and return it; else an error."""
+    dataset = enzyme_dataset(records, name, sites, availability)
+    if bad := [tuple(r) for r in wrong_sites(dataset).collect()]:  # a few rows at most
+        raise ValueError(f"wrong enzymes: {bad}")
+    dataset.coalesce(1).write.mode("overwrite").parquet(path)
+    return records.sparkSession.read.parquet(path)
+
+
+def sites_of_table(dataset: DataFrame, names: list[str]) -> list[Site]:
+    """Sites of the named enzymes of a dimension table, for the searches; an unknown name is an error."""
+    rows = dataset.where(F.col("enzyme").isin(*names)).select("enzyme", "cutsite_no", "shorthand").orderBy("enzyme", "cutsite_no").collect()  # the named ones only
+    if missing := set(names) - {r["enzyme"] for r in rows}:
+        raise ValueError(f"unknown enzymes: {', '.join(sorted(missing))}")
+    return [parse_site(r["shorthand"], r["enzyme"], r["cutsite_no"]) for r in rows]
 
 
 def enzyme_sites(records: DataFrame, name: str, sites: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from nucleoframe.common import table
 from nucleoframe.operators.islands import exon_periods
 from nucleoframe.operators.nested import nested_parts
-from nucleoframe.queries import base, relational, scalars  # noqa: F401
+from nucleoframe.queries import base, datasets, relational, scalars  # noqa: F401
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ from nucleoframe.functions import bits
 from nucleoframe.functions.seq import reverse_complement
 from nucleoframe.operators import duplex, genes, graph, islands, kmers, padlock, records, regions, restriction, seeds, similarity
 from nucleoframe.queries import base
-from nucleoframe.queries.base import query
+from nucleoframe.queries.base import query, rc_sql
+from nucleoframe.queries.scalars import tm_sql
 from nucleoframe.sources import fasta, genbank, xmfa
 
 # words and repeats
@@ -149,11 +150,12 @@ def j5(spark: SparkSession, d: str) -> DataFrame:
     return similarity.similarity_join(_targets(spark, d, 20), "id", "t", base.contigs(spark, d), "id", "seq", 20, 1)
 
 
-@query("pm17_misprimes", _TARGETS.format(m=20) + """, prim AS (SELECT DISTINCT id, seq_l AS t FROM oligos WHERE length(seq_l) = 20),
-cand AS (SELECT t.id, t.t, w FROM prim t JOIN win ON left(t.t, 10) = left(w, 10) UNION SELECT t.id, t.t, w FROM prim t JOIN win ON right(t.t, 10) = right(w, 10))
+@query("pm17_misprimes", _TARGETS.format(m=14) + """, prim AS (SELECT barcode AS id, barcode || reverse(barcode) || left(barcode, 4) AS t FROM bars),
+cand AS (SELECT t.id, t.t, w FROM prim t JOIN win ON left(t.t, 7) = left(w, 7) UNION SELECT t.id, t.t, w FROM prim t JOIN win ON right(t.t, 7) = right(w, 7))
 SELECT DISTINCT id FROM cand WHERE hamming(t, w) < 2""")
 def pm17(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.misprimes(base.oligos(spark, d), "id", "seq_l", base.contigs(spark, d), "id", "seq", 20, 2)
+    primers = table(spark, d, "barcodes").select("barcode").where("barcode is not null").distinct().withColumn("t", F.expr("concat(barcode, reverse(barcode), left(barcode, 4))"))
+    return similarity.misprimes(primers, "barcode", "t", base.contigs(spark, d), "id", "seq", 14, 2).withColumnRenamed("barcode", "id")
 
 
 _ENZYMES = ["EcoRI", "BamHI", "HindIII", "BsaI", "HinfI"]
@@ -443,11 +445,22 @@ def e9(spark: SparkSession, d: str) -> DataFrame:
     return base.oligos(spark, d).select("id", padlock.scaffold("TCTAC{barcode}AAGTT{armr}", F.col("barcode")).alias("scaffold"))
 
 
-@query("e10_screen_arms", """, g AS (SELECT id, seq_l, seq_r, length(regexp_replace(seq_l, '[^GC]', '', 'g')) / length(seq_l) AS gl, length(regexp_replace(seq_r, '[^GC]', '', 'g')) / length(seq_r) AS gr FROM oligos)
-SELECT id, round(gl, 6) AS gc_l, round(gr, 6) AS gc_r, length(regexp_replace(left(seq_l, 5), '[^GC]', '', 'g')) <= 3 AND length(regexp_replace(right(seq_r, 5), '[^GC]', '', 'g')) <= 3 AS l_clamp FROM g""")
+_E10 = f""", pairs AS (SELECT id, 0 AS k, seq_l AS a, seq_r AS b FROM oligos UNION ALL SELECT id, 1, seq_l, 'TCTACAAGTT' FROM oligos UNION ALL SELECT id, 2, 'TCTACAAGTT', seq_r FROM oligos),
+tails AS (SELECT DISTINCT id, k, right(a, n::INT) AS t FROM pairs, unnest(range(4, 9)) AS r(n) WHERE length(a) >= n AND contains({rc_sql("b")}, right(a, n::INT))),
+one AS (SELECT t, {tm_sql("t")} AS tm FROM (SELECT DISTINCT t FROM tails WHERE regexp_full_match(t, '[ACGT]+'))),
+dim AS (SELECT p.id, p.k, greatest(0, coalesce(max(tm), 0)) AS tm FROM pairs p LEFT JOIN tails t ON t.id = p.id AND t.k = p.k LEFT JOIN one USING (t) GROUP BY p.id, p.k),
+three AS (SELECT id, max(tm) FILTER (WHERE k = 0) AS d0, max(tm) FILTER (WHERE k = 1) AS d1, max(tm) FILTER (WHERE k = 2) AS d2 FROM dim GROUP BY id),
+g AS (SELECT id, seq_l, seq_r, length(regexp_replace(seq_l, '[^GC]', '', 'g')) / length(seq_l) AS gl, length(regexp_replace(seq_r, '[^GC]', '', 'g')) / length(seq_r) AS gr, {tm_sql("seq_l")} AS tl, {tm_sql("seq_r")} AS tr,
+  length(regexp_replace(left(seq_l, 5), '[^GC]', '', 'g')) <= 3 AND length(regexp_replace(right(seq_r, 5), '[^GC]', '', 'g')) <= 3 AS clamp FROM oligos)
+SELECT id, gl BETWEEN 0.4 AND 0.6 AND gr BETWEEN 0.4 AND 0.6 AND clamp AND tl >= 50 AND tr >= 50 AND NOT contains(seq_l, 'GGGGG') AND NOT contains(seq_r, 'GGGGG') AND greatest(d0, d1, d2) <= 30 AS ok,
+  round(gl, 6) AS gc_l, round(gr, 6) AS gc_r, clamp AS l_clamp, round(tl, 4) AS tm_l, round(tr, 4) AS tm_r, round(d0, 4) AS tm_hetero_0, round(d1, 4) AS tm_hetero_1, round(d2, 4) AS tm_hetero_2 FROM g JOIN three USING (id)"""
+
+
+@query("e10_screen_arms", _E10)
 def e10(spark: SparkSession, d: str) -> DataFrame:
     s = padlock.screen_arms(F.col("seq_l"), F.col("seq_r"), F.lit("TCTACAAGTT"))
-    return base.oligos(spark, d).select("id", s.alias("s")).select("id", F.round("s.gc_l", 6).alias("gc_l"), F.round("s.gc_r", 6).alias("gc_r"), "s.l_clamp")
+    x = base.oligos(spark, d).select("id", s.alias("s"))
+    return x.select("id", "s.ok", F.round("s.gc_l", 6).alias("gc_l"), F.round("s.gc_r", 6).alias("gc_r"), "s.l_clamp", *[F.round(f"s.{c}", 4).alias(c) for c in ("tm_l", "tm_r", "tm_hetero_0", "tm_hetero_1", "tm_hetero_2")])
 
 
 @query("e11_generate_padlocks")
@@ -455,7 +468,7 @@ def e11(spark: SparkSession, d: str) -> DataFrame:
     return padlock.generate_padlocks(base.contigs(spark, d), "id", "seq", "TCTACGATTACGCAGGTACC").select("id", "idx", "group_start", "padlock_seq", "score")
 
 
-@query("e12_design_padlocks")
+@query("e12_design_of_sequences")
 def e12(spark: SparkSession, d: str) -> DataFrame:
     return padlock.design(base.contigs(spark, d), "id", "seq", "TCTACGATTACGCAGGTACC").select("id", "idx", "padlock_seq", "score", "relaxed")
 
@@ -472,9 +485,12 @@ def g1(spark: SparkSession, d: str) -> DataFrame:
     return similarity.full_graph(_bars(spark, d), "barcode", "barcode")
 
 
-@query("g1_distance_graph", ", s AS (SELECT DISTINCT seq_l AS x FROM oligos WHERE length(seq_l) = 20), c AS (SELECT a.x AS i, b.x AS j FROM s a JOIN s b ON left(a.x, 10) = left(b.x, 10) AND a.x < b.x UNION SELECT a.x, b.x FROM s a JOIN s b ON right(a.x, 10) = right(b.x, 10) AND a.x < b.x) SELECT i, j, hamming(i, j)::INT AS distance FROM c WHERE hamming(i, j) <= 1")
+@query("g1_distance_graph", ", s AS (SELECT seq_l AS x FROM oligos WHERE length(seq_l) = 20 UNION SELECT left(seq_l, (id % 20)::INT) || 'C' || substr(seq_l, (id % 20)::INT + 2) FROM oligos WHERE length(seq_l) = 20), c AS (SELECT a.x AS i, b.x AS j FROM s a JOIN s b ON left(a.x, 10) = left(b.x, 10) AND a.x < b.x UNION SELECT a.x, b.x FROM s a JOIN s b ON right(a.x, 10) = right(b.x, 10) AND a.x < b.x) SELECT i, j, hamming(i, j)::INT AS distance FROM c WHERE hamming(i, j) <= 1")
 def g1d(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.distance_graph(base.oligos(spark, d).select("seq_l").distinct(), "seq_l", "seq_l", 1, 20)
+    """All arms, and each once more with a C at one place."""
+    arms = base.oligos(spark, d).where("length(seq_l) = 20")
+    other = arms.select(F.expr("concat(left(seq_l, cast(id % 20 as int)), 'C', substr(seq_l, cast(id % 20 as int) + 2))").alias("seq_l"))
+    return similarity.distance_graph(arms.select("seq_l").unionByName(other).distinct(), "seq_l", "seq_l", 1, 20)
 
 
 @query("g2_placed_graph", """, p AS (SELECT barcode, left(barcode, 3 + ascii(barcode) % 3) AS s FROM bars),

@@ -157,6 +157,15 @@ _H = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in thermo.ENTHALPY.items()) + "}
 _E = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in thermo.ENTROPY.items()) + "}"
 
 
+def tm_sql(c: str) -> str:
+    """The melting temperature of an A, C, G, T string."""
+    pairs = lambda table: f"list_sum(list_transform(range(1, length({c})), lambda i: {table}[substr({c}, i, 2)]))"
+    ends, sym = f"((left({c}, 1) IN ('A', 'T'))::INT + (right({c}, 1) IN ('A', 'T'))::INT)", f"({c} = {rc_sql(c)})"
+    dh = f"(-100.0 * ({pairs(_H)} - 23 * {ends} - (2 - {ends})))"
+    ds = f"(-0.1 * ({pairs(_E)} - 41 * {ends} + 28 * (2 - {ends}) + CASE WHEN {sym} THEN 14 ELSE 0 END) + 0.368 * (length({c}) - 1) * ln(0.05))"
+    return f"({dh} / ({ds} + 1.987 * ln(50 / CASE WHEN {sym} THEN 1e9 ELSE 4e9 END)) - 273.15)"
+
+
 @query("t1_kelvin", "SELECT hit_id AS id, loaded_at, round(left_tm + 273.15, 6) AS k, round(left_tm, 6) AS c FROM padlock_hits WHERE isfinite(left_tm)")
 def t1(spark: SparkSession, d: str) -> DataFrame:
     h = base.table(spark, d, "padlock_hits").where("not isnan(left_tm) and abs(left_tm) < double('Infinity')")

@@ -69,11 +69,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
-    """``df`` with a broadcast hint if it is counted to have at most so many rows, else as it is."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
-
-
 def latest_rows(df: DataFrame, keys: list[str], version: str, keep: list[str]) -> DataFrame:
     """One row per key: that with the latest ``version``, reduced to ``keep``.
 

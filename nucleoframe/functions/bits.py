@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 MOST = 30
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def _mask(n: Column | int) -> Column:
     """The low 2n bits."""
     if isinstance(n, int):
@@ -49,12 +45,10 @@ def int_complement(v: Column, n: Column | int) -> Column:
 
 
 def int_reverse(v: Column, n: Column | int) -> Column:
-    """Groups of two bits in the opposite order: swap neighbours of 2, 4, 8, 16 and 32 bits, then shift down."""
-    for width, low in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF), (32, 0x00000000FFFFFFFF)):
-        m = F.lit(_signed(low)).cast("bigint")
-        v = _left(v.bitwiseAND(m), F.lit(width)).bitwiseOR(_right(v, F.lit(width)).bitwiseAND(m))
+    """The bases in the opposite order, by their digits to the base of four."""
     n = _n(n)
-    return F.when(n > 0, _right(v, F.lit(64) - n * 2)).otherwise(F.lit(0).cast("bigint"))
+    digits = F.right(F.concat(F.lit("0" * MOST), F.conv(v.cast("string"), 10, 4)), n)
+    return F.when(n > 0, F.conv(F.reverse(digits), 4, 10).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
 
 
 def int_reverse_complement(v: Column, n: Column | int) -> Column:

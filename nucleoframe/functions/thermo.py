@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from nucleoframe.functions.seq import simple_reverse_complement
-
 KELVIN, GAS = 273.15, 1.987
 # Nearest-neighbour enthalpies (-0.1 kcal/mol) and entropies (-0.1 cal/(mol K)) of dinucleotides.
 ENTHALPY = {"AA": 79, "AC": 84, "AG": 78, "AT": 72, "CA": 85, "CC": 80, "CG": 106, "CT": 78, "GA": 82, "GC": 98, "GG": 80, "GT": 84, "TA": 72, "TC": 82, "TG": 85, "TT": 79}
@@ -42,13 +41,34 @@ def divalent_to_monovalent(divalent: Column, dntp: Column) -> Column:
     return F.when((divalent < 0) | (dntp < 0), None).when((divalent == 0) | (divalent < dntp), 0.0).otherwise(120 * F.sqrt(divalent - dntp))
 
 
-def _pairs(seq: Column, weights: dict[str, int]) -> Column:
-    """Sum over all dinucleotides: each kind is counted in both phases, without unrolling the sequence."""
-    out = F.lit(0)
-    for value in sorted(set(weights.values())):
-        kinds = "|".join(f"{p[0]}(?={p[1]})" for p in weights if weights[p] == value)
-        out = out + F.regexp_count(seq, F.lit(kinds)) * value
-    return out
+_LETTER = np.full(256, 4, np.int64)
+_LETTER[[ord(x) for x in "ACGT"]] = range(4)
+_HEAT, _DISORDER = (np.array([table[a + b] for a in "ACGT" for b in "ACGT"]) for table in (ENTHALPY, ENTROPY))
+
+
+def thermo_of(seqs: list[str | None], conc_nm: float, salt: float) -> tuple[np.ndarray, ...]:
+    """``dh, ds, tm`` of many sequences at once, from running sums over the letters of all; NaN where there is none."""
+    n = np.array([0 if s is None else len(s) for s in seqs], np.int64)
+    code = _LETTER[np.frombuffer("".join(s or "" for s in seqs).encode("latin-1", "replace"), np.uint8)]
+    end = np.cumsum(n)
+    begin = end - n
+    total = lambda x: np.concatenate(([0], np.cumsum(x)))
+    base = np.minimum(code, 3)
+    pair = base[:-1] * 4 + base[1:]
+    good = (n > 1) & (total(code > 3)[end] == total(code > 3)[begin])
+    a, z = begin[good], end[good]
+    heat, disorder = (total(t[pair])[z - 1] - total(t[pair])[a] for t in (_HEAT, _DISORDER))
+    weak = (code == 0) | (code == 3)
+    ends = weak[a].astype(np.int64) + weak[z - 1]
+    odd = total(np.concatenate([base[b:e] + base[b:e][::-1] != 3 for b, e in zip(a.tolist(), z.tolist())] or [np.zeros(0, bool)]))
+    upto = np.cumsum(z - a)
+    same = odd[upto] == odd[upto - (z - a)]
+    out = [np.full(len(seqs), np.nan) for _ in range(3)]
+    dh = -100.0 * (heat - 23 * ends - (2 - ends))
+    ds = -0.1 * (disorder - 41 * ends + 28 * (2 - ends) + 14 * same) + 0.368 * (z - a - 1) * np.log(salt / 1000.0)
+    for x, v in zip(out, (dh, ds, dh / (ds + GAS * np.log(conc_nm / np.where(same, 1e9, 4e9))) - KELVIN)):
+        x[good] = v
+    return tuple(out)
 
 
 def thermo(seq: Column, conc_nm: float = 50, monovalent: float = 50, divalent: float = 0.01, dntp: float = 0.0, corrected: bool = False) -> Column:
@@ -56,15 +76,14 @@ def thermo(seq: Column, conc_nm: float = 50, monovalent: float = 50, divalent: f
 
     ``corrected`` takes the divalent salt into account in the salt term.
     """
-    symmetric = seq == simple_reverse_complement(seq)
-    ends = F.when(F.left(seq, F.lit(1)).isin("A", "T"), 1).otherwise(0) + F.when(F.right(seq, F.lit(1)).isin("A", "T"), 1).otherwise(0)
     salt = monovalent + (120 * (divalent - dntp) ** 0.5 if corrected and divalent > dntp else 0)
-    dh = -100.0 * (_pairs(seq, ENTHALPY) - 23 * ends - (2 - ends))
-    ds = -0.1 * (_pairs(seq, ENTROPY) - 41 * ends + 28 * (2 - ends) + F.when(symmetric, 14).otherwise(0)) + 0.368 * (F.length(seq) - 1) * F.log(F.lit(salt / 1000.0))
-    conc = F.when(symmetric, F.log(F.lit(conc_nm / 1e9))).otherwise(F.log(F.lit(conc_nm / 4e9)))
-    return F.when(
-        seq.rlike("^[ACGT]{2,}$"), F.struct(dh.alias("dh"), ds.alias("ds"), (dh / (ds + GAS * conc) - KELVIN).alias("tm"))
-    )
+
+    @F.pandas_udf("dh double, ds double, tm double")
+    def run(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(("dh", "ds", "tm"), thermo_of(s.tolist(), conc_nm, salt))))
+
+    t = run(seq)
+    return F.when(seq.rlike("^[ACGT]{2,}$"), t)
 
 
 def melting_temperature(seq: Column, **conditions: float) -> Column:

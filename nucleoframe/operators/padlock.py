@@ -11,13 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from nucleoframe.functions.metrics import gc_content, left_arm_clamp, right_arm_clamp
-from nucleoframe.functions.thermo import ENTHALPY, ENTROPY, GAS, KELVIN, dimer_tm, heterodimer_proxy, melting_temperature
+from nucleoframe.functions.thermo import _DISORDER, _HEAT, GAS, KELVIN, dimer_tm, heterodimer_proxy, melting_temperature
 from nucleoframe.operators.genes import transcripts_of
 from nucleoframe.operators.kmers import CODES, per_record
 from nucleoframe.operators.regions import permitted_sequences
 
-_HEAT = np.array([ENTHALPY[a + b] for a in "ACGT" for b in "ACGT"])
-_DISORDER = np.array([ENTROPY[a + b] for a in "ACGT" for b in "ACGT"])
 
 
 @dataclass(frozen=True)

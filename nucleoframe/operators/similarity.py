@@ -9,24 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nucleoframe.common import broadcast_if_small
 from nucleoframe.functions.metrics import hamming
 from nucleoframe.plans import strategy
 
 BLOCK_TARGETS = 4096
-
-
-def _windows(refs: DataFrame, ref_id: str, seq: str, m: int) -> DataFrame:
-    """``ref_id, offset, word`` of every placement of ``m`` letters."""
-    # a look-ahead walks over the text once; a substring at each offset would count characters from the begin each time
-    every = F.regexp_extract_all(F.col(f"`{seq}`"), F.lit(f"(?s)(?=(.{{{m}}}))"), F.lit(1))
-    return refs.select(F.col(f"`{ref_id}`").alias("ref_id"), F.posexplode(every).alias("offset", "word"))
-
-
-def exact_join(targets: DataFrame, target_id: str, target: str, refs: DataFrame, ref_id: str, seq: str, m: int) -> DataFrame:
-    """``target_id, ref_id, offset``: every place of each target of ``m`` letters."""
-    own = targets.where(F.length(F.col(f"`{target}`")) == m).select(F.col(f"`{target_id}`").alias("target_id"), F.col(f"`{target}`").alias("word"))
-    return _windows(refs, ref_id, seq, m).join(broadcast_if_small(own), "word").select("target_id", "ref_id", "offset")
+#: The bit filter of targets has two to this power bits: 8 MB.
+FILTER_BITS = 26
 
 
 def seed_keys(word: Column, seed: str, m: int) -> Column:
@@ -43,15 +31,84 @@ def _keyed(rows: DataFrame, m: int, k: int, how: str) -> DataFrame:
     return rows.select("*", F.explode(keys).alias("_k")).select("*", "_k.plan", "_k.shift", "_k.look").drop("_k")
 
 
+def _looks(m: int, k: int, how: str) -> list[list[int]]:
+    """Places of a word that each key is made of: all of them, those of a block, or those of a seed at each shift."""
+    if how == "exact":
+        return [list(range(m))]
+    if how == "blocks":
+        return [list(range(a, a + n)) for a, n in strategy.blocks(m, k)]
+    seeds_ = [([i for i, c in enumerate(s) if c == "#"], len(s.rstrip("-"))) for s in strategy.SEEDS[m, k]]
+    return [[shift + i for i in at] for at, n in seeds_ for shift in range(m - n + 1)]
+
+
+def _hashes(letters: list[np.ndarray], looks: list[int]) -> np.ndarray:
+    """The key of each placement, from the letters at some places of it; ``letters`` has those of all placements by place."""
+    h = np.full(len(letters[0]), len(looks) + looks[0], np.uint64)
+    for j in looks:
+        h ^= letters[j]
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return h
+
+
+def _keys(targets: DataFrame, target_id: str, target: str, m: int, looks: list[list[int]]) -> DataFrame:
+    """``plan, key, target_id, target``: every distinct target of ``m`` letters under each of its keys."""
+    kind = dict(targets.dtypes)[target_id]
+    own = targets.where(F.length(F.col(f"`{target}`")) == m).select(F.col(f"`{target_id}`").alias("target_id"), F.col(f"`{target}`").alias("target")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.frombuffer("".join(b.column(1).to_pylist()).encode("latin-1", "replace"), np.uint8).astype(np.uint64).reshape(-1, m)
+            for plan, at in enumerate(looks):
+                key = _hashes(list(x.T), at).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), plan, np.int32)), pa.array(key), b.column(0), b.column(1)], ["plan", "key", "target_id", "target"])
+
+    return own.mapInArrow(run, f"plan int, key bigint, target_id {kind}, target string")
+
+
+def _filter_of(keys: DataFrame) -> np.ndarray:
+    """A bit for each possible first ``FILTER_BITS`` bits of a key, set where a target has it: always of the same size."""
+    place = F.shiftrightunsigned("key", 64 - FILTER_BITS)
+    words = keys.select(F.shiftright(place, 6).alias("i"), F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(63).cast("int")).alias("b")).groupBy("i").agg(F.bit_or("b").alias("b"))
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for r in words.toLocalIterator():
+        out[r["i"]] = r["b"]
+    return out.view(np.uint64)
+
+
 def keyed_join(targets: DataFrame, target_id: str, target: str, refs: DataFrame, ref_id: str, seq: str, m: int, k: int, how: str) -> DataFrame:
-    """Candidates that agree in a block or seed at the same shift, then those within ``k`` mismatches.
+    """Candidates that agree in a key at the same placement, then those within ``k`` mismatches.
 
-    Few targets (counted) are sent to the references; many are shuffled with them by key.
+    Every placement's keys are looked up in a bit filter of fixed size where the reference
+    lies, so only placements that some target may match leave the scan, whatever the
+    number of targets; these meet the targets by key in an exchange, whose hot keys the
+    skew join splits.
     """
-    own = targets.where(F.length(F.col(f"`{target}`")) == m).select(F.col(f"`{target_id}`").alias("target_id"), F.col(f"`{target}`").alias("word")).distinct()
-    left = broadcast_if_small(_keyed(own, m, k, how).withColumnRenamed("word", "target"))
-    right = _keyed(_windows(refs, ref_id, seq, m), m, k, how)
-    hits = right.join(left, ["plan", "shift", "look"]).withColumn("hd", hamming(F.col("target"), F.col("word"))).where(F.col("hd") <= k)
+    looks = _looks(m, k, how)
+    keys = _keys(targets, target_id, target, m, looks)
+    kind = dict(refs.dtypes)[ref_id]
+    rows = refs.select(F.col(f"`{ref_id}`").alias("ref_id"), F.col(f"`{seq}`").alias("seq")).where(F.length("seq") >= m)
+    sent = refs.sparkSession.sparkContext.broadcast(_filter_of(keys))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for b in batches:
+            for r, text in enumerate(b.column(1).to_pylist()):
+                x = np.frombuffer(text.encode("latin-1", "replace"), np.uint8).astype(np.uint64)
+                every = [x[j : len(x) - m + 1 + j] for j in range(m)]
+                for plan, at in enumerate(looks):
+                    key = _hashes(every, at)
+                    place = key >> np.uint64(64 - FILTER_BITS)
+                    hit = np.flatnonzero(bits[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1))
+                    if len(hit):
+                        n = len(hit)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(n, plan, np.int32)), pa.array(key[hit].view(np.int64)), b.column(0).take(pa.array(np.full(n, r))), pa.array(hit.astype(np.int32)), pa.array([text[o : o + m] for o in hit.tolist()])],
+                            ["plan", "key", "ref_id", "offset", "word"],
+                        )
+
+    right = rows.mapInArrow(run, f"plan int, key bigint, ref_id {kind}, offset int, word string")
+    hits = right.join(keys, ["plan", "key"]).withColumn("hd", hamming(F.col("target"), F.col("word"))).where(F.col("hd") <= k)
     return hits.groupBy("target_id", "ref_id", "offset").agg(F.min("hd").alias("hd"))
 
 
@@ -119,7 +176,6 @@ def similarity_join(
     if how == "exact":
         if k:
             raise ValueError("the exact plan has no mismatches")
-        return exact_join(targets.dropDuplicates([target_id, target]), target_id, target, refs, ref_id, seq, m).withColumn("hd", F.lit(0))
     if how == "brute":
         return brute_join(targets.where(F.length(F.col(f"`{target}`")) == m), target_id, target, refs, ref_id, seq, k, overhang)
     return keyed_join(targets, target_id, target, refs, ref_id, seq, m, k, how)

@@ -90,30 +90,31 @@ def pack(df: DataFrame, key: str, size: str, capacity: int = 2048, per_task: int
 
     * an item above the capacity is cut into full containers and a rest, which is packed like an item (``piece_no`` from 1);
     * items of size 0 or null get a row with 0 units and a null container;
-    * ties are broken by the key, so a result is the same on every run; repeated keys are items of their own;
-    * a null key is a key like any other; an empty table gives none.
+    * ties are broken by the key and the place in the table, so a result is the same on every run over the same files;
+    * repeated and null keys are items of their own, spread over the tasks like others; an empty table gives none.
     """
     kind = dict(df.dtypes)[key]
-    items = cut_lineage(df.select(F.col(f"`{key}`").alias("key"), F.greatest(F.coalesce(F.col(f"`{size}`").cast("bigint"), F.lit(0)), F.lit(0)).alias("size")))
+    # numbered before the cut: repeated keys have numbers of their own, and a task that is run again finds the same ones
+    items = cut_lineage(df.select(F.monotonically_increasing_id().alias("no"), F.col(f"`{key}`").alias("key"), F.greatest(F.coalesce(F.col(f"`{size}`").cast("bigint"), F.lit(0)), F.lit(0)).alias("size")))
     total = items.count()
-    pieces = items.select("key", "size", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.col("size") / capacity)))).alias("piece_no")).select(
-        "key", F.col("piece_no").cast("int").alias("piece_no"), ((F.col("piece_no") - 1) * capacity).alias("first_unit"),
+    pieces = items.select("no", "key", "size", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.col("size") / capacity)))).alias("piece_no")).select(
+        "no", "key", F.col("piece_no").cast("int").alias("piece_no"), ((F.col("piece_no") - 1) * capacity).alias("first_unit"),
         F.least(F.lit(capacity), F.col("size") - (F.col("piece_no") - 1) * capacity).cast("int").alias("units"),
     )
-    cols = f"key {kind}, piece_no int, first_unit bigint, units int, container_id string, fill double"
+    cols = f"no bigint, key {kind}, piece_no int, first_unit bigint, units int, container_id string, fill double"
 
     def packer(tag: str):
         def run(group: pd.DataFrame) -> pd.DataFrame:
-            g = group.sort_values(["units", "key", "piece_no"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+            g = group.sort_values(["units", "key", "no", "piece_no"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
             bins = sum_of_squares(g["units"].to_numpy(), capacity)
             fill = np.bincount(bins, weights=g["units"].to_numpy())[bins] / capacity
             name = f"{tag}-{int(group['task'].iloc[0])}-"
-            return g[["key", "piece_no", "first_unit", "units"]].assign(container_id=[name + str(b) for b in bins.tolist()], fill=fill)
+            return g[["no", "key", "piece_no", "first_unit", "units"]].assign(container_id=[name + str(b) for b in bins.tolist()], fill=fill)
 
         return run
 
     def packed(rows: DataFrame, tasks: int, tag: str) -> DataFrame:
-        return rows.select("key", "piece_no", "first_unit", "units", F.pmod(F.xxhash64("key", "piece_no"), F.lit(tasks)).alias("task")).groupBy("task").applyInPandas(packer(tag), cols)
+        return rows.select("no", "key", "piece_no", "first_unit", "units", F.pmod(F.xxhash64("no", "piece_no"), F.lit(tasks)).alias("task")).groupBy("task").applyInPandas(packer(tag), cols)
 
     tasks = max(1, -(-total // per_task))
     first = cut_lineage(packed(pieces.where("units > 0"), tasks, "a"))
@@ -127,3 +128,16 @@ def pack(df: DataFrame, key: str, size: str, capacity: int = 2048, per_task: int
 def pack_documents(documents: DataFrame, capacity: int = 2048, vocabulary: str = VOCABULARY) -> DataFrame:
     """Every page in a container of ``capacity`` tokens: ``doc_id, piece_no, first_unit, units, container_id``."""
     return pack(count_tokens(documents, "doc_id", "text", vocabulary), "doc_id", "n_tokens", capacity)
+
+
+def packing_audit(packed: DataFrame, items: DataFrame, key: str, size: str, capacity: int = 2048) -> DataFrame:
+    """One row: ``items`` packed, containers above the capacity, units lost, items cut though they fit, and whether there are at most 2 percent more containers than units need."""
+    size_of = items.groupBy(F.col(key).alias("key")).agg(F.sum(F.col(size).cast("bigint")).alias("size"), F.count("*").alias("rows"))
+    by_item = packed.groupBy(F.col(key).alias("key")).agg(F.sum("units").alias("units"), F.count("*").alias("pieces"))
+    whole = by_item.join(size_of, "key", "full").agg(
+        F.count("units").alias("items"), F.coalesce(F.sum(F.abs(F.coalesce("size", F.lit(0)) - F.coalesce("units", F.lit(0)))), F.lit(0)).alias("lost"),
+        F.count_if((F.col("rows") == 1) & (F.col("size") <= capacity) & (F.col("pieces") > 1)).alias("split"), F.coalesce(F.sum("size"), F.lit(0)).alias("_all"),
+    )
+    bins = packed.where("container_id is not null").groupBy("container_id").agg(F.sum("units").alias("fill")).agg(F.count_if(F.col("fill") > capacity).alias("overfull"), F.count("*").alias("_bins"))
+    tight = F.col("_bins") <= F.ceil(F.col("_all") / capacity * 1.02) + 1
+    return whole.withColumn("_one", F.lit(1)).join(bins.withColumn("_one", F.lit(1)), "_one").select("items", "overfull", "lost", "split", tight.alias("tight"))  # two rows of one line each

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nucleoframe.common import table
+from nucleoframe.common import cut_lineage, table
 from nucleoframe.llm.leak import find_leaks
-from nucleoframe.llm.packing import pack_documents
+from nucleoframe.llm.packing import count_tokens, pack, pack_documents, packing_audit
 from nucleoframe.llm.shared import shared_bases
 from nucleoframe.llm.split import split_records
 from nucleoframe.llm.topn import best_padlocks
@@ -36,6 +36,12 @@ def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def p6_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of any filling: no page lost or cut, no container too full, few more containers than needed."""
+    tokens = cut_lineage(count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return packing_audit(pack(tokens, "doc_id", "n_tokens"), tokens, "doc_id", "n_tokens")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
 
@@ -54,7 +60,7 @@ def p8_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_bisected, p5_found, p6_packed, p7_found, p7_edits, p8_found, p8_members)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_bisected, p5_found, p6_packed, p6_audit, p7_found, p7_edits, p8_found, p8_members)}
 
 
 P1_SQL = r"""
@@ -105,6 +111,9 @@ SELECT rec_id, sum(c)::INT AS shared_bp FROM own GROUP BY rec_id
 """
 
 
+P6_SQL = "SELECT count(*) AS items, 0::BIGINT AS overfull, 0::BIGINT AS lost, 0::BIGINT AS split, TRUE AS tight FROM documents"
+
+
 def _form_sql(column: str) -> str:
     """The consistent form, with DuckDB's own normalisation."""
     wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
@@ -153,5 +162,5 @@ WHERE regexp_matches(f, '[^\s]')
 
 
 def oracle_sql() -> dict[str, str]:
-    """p6 has none: many fillings are equally good; its tests check that containers hold and how full they are."""
-    return {"p1_found": P1_SQL, "p2_found": P2_SQL, "p5_found": P5_SQL, "p7_found": P7_SQL, "p8_found": P8_SQL, "p8_members": P8_MEMBERS_SQL}
+    """p6_packed has none: many fillings are equally good; p6_audit says what must hold of all of them."""
+    return {"p1_found": P1_SQL, "p2_found": P2_SQL, "p5_found": P5_SQL, "p6_audit": P6_SQL, "p7_found": P7_SQL, "p8_found": P8_SQL, "p8_members": P8_MEMBERS_SQL}

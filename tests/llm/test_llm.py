@@ -244,6 +244,22 @@ def test_packing(spark, per_task):
     assert packing.pack(df.limit(0), "id", "n", 100).count() == 0
 
 
+def test_repeated_and_null_keys_are_spread(spark):
+    df = spark.createDataFrame([(None, 7)] * 300 + [(1, 7)] * 300, "id long, n int")
+    rows = packing.pack(df, "id", "n", 21, 50)
+    got = rows.collect()
+    assert len(got) == 600 and len({r["container_id"].split("-")[1] for r in got if r["container_id"].startswith("a")}) > 4
+    assert max(Counter(r["container_id"] for r in got).values()) == 3
+
+
+def test_packing_audit_sees_what_is_wrong(spark):
+    items = spark.createDataFrame([(1, 5), (2, 30), (3, 0), (4, None)], "id long, n int")
+    audit = lambda rows: tuple(packing.packing_audit(spark.createDataFrame(rows, "id long, units int, container_id string"), items, "id", "n", 10).first())
+    assert audit([(1, 5, "x"), (2, 10, "a"), (2, 10, "b"), (2, 10, "c"), (3, 0, None), (4, 0, None)]) == (4, 0, 0, 0, True)
+    assert audit([(1, 3, "x"), (1, 2, "y"), (2, 10, "a"), (2, 20, "b"), (3, 0, None)]) == (3, 1, 0, 1, True)
+    assert audit([(1, 5, "x"), (2, 10, "a")])[2] == 20
+
+
 def test_sum_of_squares_takes_the_best_bin():
     rng = random.Random(6)
     sizes = [rng.randint(1, 10) for _ in range(300)]

@@ -105,22 +105,24 @@ def word_list(seq: Column, k: int, include_rc: bool = False, drop_last: bool = F
     return F.concat(words(seq), words(simple_reverse_complement(seq))) if include_rc else words(seq)
 
 
-def _counts(text: str, k: int, include_rc: bool) -> dict[str, int]:
+def _counts(text: str, k: int, include_rc: bool) -> tuple[list[str], np.ndarray]:
+    """The distinct words of a text and how often each occurs."""
     text = text.upper()
-    out: dict[str, int] = {}
-    for s in (text, text.translate(str.maketrans("ACGT", "TGCA"))[::-1])[: 1 + include_rc]:
-        for i in range(len(s) - k + 1):
-            w = s[i : i + k]
-            out[w] = out.get(w, 0) + 1
-    return out
+    both = (text, text.translate(str.maketrans("ACGT", "TGCA"))[::-1])[: 1 + include_rc]
+    if len(text) < k:
+        return [], np.array([], np.int64)
+    every = np.concatenate([np.lib.stride_tricks.sliding_window_view(np.frombuffer(s.encode("utf-32-le"), np.uint32), k) for s in both])
+    small = every.max() < 128  # letters of one byte, the usual case
+    words, n = np.unique(np.ascontiguousarray(every.astype(np.uint8) if small else every).view(f"S{k}" if small else f"U{k}").ravel(), return_counts=True)
+    return words.astype(f"U{k}").tolist(), n
 
 
 def word_counts(df: DataFrame, key: str, seq: str, k: int, include_rc: bool = False) -> DataFrame:
     """``key, word, n``: how often each word occurs in each record."""
 
     def work(t: str) -> dict[str, object]:
-        c = _counts(t, k, include_rc)
-        return {"word": list(c), "n": list(c.values())}
+        words, n = _counts(t, k, include_rc)
+        return {"word": words, "n": n}
 
     return per_record(df, key, seq, work, "word string, n bigint")
 
@@ -129,7 +131,7 @@ def duplicate_words(df: DataFrame, key: str, seq: str, k: int, include_rc: bool
     """``key, duplicates``: how many words of each record occur more than once."""
 
     def work(t: str) -> dict[str, object]:
-        return {"duplicates": [sum(n > 1 for n in _counts(t, k, include_rc).values())]}
+        return {"duplicates": [int((_counts(t, k, include_rc)[1] > 1).sum())]}
 
     return per_record(df, key, seq, work, "duplicates bigint")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from nucleoframe.functions.metrics import gc_content, left_arm_clamp, right_arm_clamp
-from nucleoframe.functions.thermo import _DISORDER, _HEAT, GAS, KELVIN, dimer_tm, heterodimer_proxy, melting_temperature
+from nucleoframe.functions.thermo import _DISORDER, _HEAT, GAS, KELVIN, heterodimer_proxy, melting_temperature, tm_of
 from nucleoframe.operators.genes import transcripts_of
 from nucleoframe.operators.kmers import CODES, per_record
 from nucleoframe.operators.regions import permitted_sequences
@@ -78,30 +78,51 @@ def anchored_groups(starts: Column, reach: int) -> Column:
     return run(starts)
 
 
+def _codes(text: str) -> np.ndarray:
+    return CODES[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)].astype(np.int64)
+
+
+def _word(codes: np.ndarray) -> int | None:
+    """A short word as an integer, none with a foreign letter."""
+    return None if len(codes) and not 0 <= codes.min() <= codes.max() < 4 else sum(int(c) << 2 * (len(codes) - 1 - j) for j, c in enumerate(codes))
+
+
+def _word_at(text: str, word: str) -> np.ndarray:
+    """Where a word begins, overlapping ones too."""
+    x, w = (np.frombuffer(t.encode("latin-1", "replace"), np.uint8) for t in (text, word))
+    out = np.zeros(len(x), bool)
+    if len(x) >= len(w):
+        out[: len(x) - len(w) + 1] = np.all([x[j : len(x) - len(w) + 1 + j] == c for j, c in enumerate(w)], 0)
+    return out
+
+
 def _scan(text: str, scaffold_seq: str, p: Screen) -> dict[str, list]:
     """The best probe of each group of one record, from running sums over its bases."""
     names = ("idx", "group_start", "seq_l", "seq_r", "gc_l", "gc_r", "tm_l", "tm_r", "score")
     width, n = 2 * p.arm + p.gap, len(text) - (2 * p.arm + p.gap) + 1
     if n < 1:
         return {k: [] for k in names}
-    code = CODES[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)].astype(np.int64)
+    code = _codes(text)
     base = np.minimum(code, 3)
     pair = base[:-1] * 4 + base[1:]
     total = lambda x: np.concatenate(([0], np.cumsum(x)))
     foreign, gc, weak = total(code > 3), total((code == 1) | (code == 2)), (base == 0) | (base == 3)
     heat, disorder = total(_HEAT[pair]), total(_DISORDER[pair])
+    weak = weak.astype(np.int8)
 
-    def arm(at: int) -> tuple[np.ndarray, ...]:
-        a = np.arange(n) + at
-        z = a + p.arm
-        ends = weak[a].astype(int) + weak[z - 1]
-        same = np.ones(n, bool)
-        for i in range((p.arm + 1) // 2):
+    def melting(a: np.ndarray, size: int) -> np.ndarray:
+        z = a + size
+        ends = weak[a] + weak[z - 1]
+        same = np.ones(len(a), bool)
+        for i in range((size + 1) // 2):
             same &= base[a + i] == 3 - base[z - 1 - i]
         dh = -100.0 * (heat[z - 1] - heat[a] - 23 * ends - (2 - ends))
-        ds = -0.1 * (disorder[z - 1] - disorder[a] - 41 * ends + 28 * (2 - ends) + 14 * same) + 0.368 * (p.arm - 1) * np.log(0.05)
-        tm = dh / (ds + GAS * np.log(50 / np.where(same, 1e9, 4e9))) - KELVIN
-        return a, z, (gc[z] - gc[a]) / p.arm, tm
+        ds = -0.1 * (disorder[z - 1] - disorder[a] - 41 * ends + 28 * (2 - ends) + 14 * same) + 0.368 * (size - 1) * np.log(0.05)
+        return dh / (ds + GAS * np.log(50 / np.where(same, 1e9, 4e9))) - KELVIN
+
+    def arm(at: int) -> tuple[np.ndarray, ...]:
+        a = np.arange(n) + at
+        return a, a + p.arm, (gc[a + p.arm] - gc[a]) / p.arm, melting(a, p.arm)
 
     l, lz, gc_l, tm_l = arm(0)
     r, rz, gc_r, tm_r = arm(p.arm + p.gap)
@@ -109,14 +130,39 @@ def _scan(text: str, scaffold_seq: str, p: Screen) -> dict[str, list]:
     for x in (gc_l, gc_r):
         ok &= (x >= p.gc_min) & (x <= p.gc_max)
     ok &= (gc[l + 5] - gc[l] <= p.clamp_max) & (gc[rz] - gc[rz - 5] <= p.clamp_max) & (tm_l >= p.tm_min) & (tm_r >= p.tm_min)
-    keep = []
-    for i in np.flatnonzero(ok).tolist():
-        window = text[i : i + width]
-        left, right = window[: p.arm], window[p.arm + p.gap :]
-        if p.window_exclude in window or any(x in left or x in right for x in p.exclude):
+    for word, spans in ((p.window_exclude, [(0, width)]), *((x, [(0, p.arm), (p.arm + p.gap, width)]) for x in p.exclude)):
+        found = total(_word_at(text, word))  # begins of the word
+        for lo, hi in spans:
+            if hi - lo >= len(word):
+                ok &= found[np.arange(n) + hi - len(word) + 1] == found[np.arange(n) + lo]
+    at = np.flatnonzero(ok)
+    worst = np.zeros(len(at))
+    # of the arms' and the scaffold's last 4 to 8 bases those that the other strand can pair with, as in dimer_tm
+    frame = _codes(scaffold_seq)
+    back = 3 - frame[::-1]
+    forth, turned = np.zeros(len(base), np.int32), np.zeros(len(base), np.int32)  # the word from each place on, and its reverse complement
+    for size in range(1, min(8, p.arm) + 1 if len(at) else 0):
+        here = base[size - 1 :].astype(np.int32)
+        forth, turned = forth[: len(here)] << 2 | here, turned[: len(here)] | (3 - here) << 2 * (size - 1)
+        if size < 4:
             continue
-        if max(dimer_tm(left, right), dimer_tm(left, scaffold_seq), dimer_tm(scaffold_seq, right)) <= p.structure_max:
-            keep.append(i)
+        tail = at + p.arm - size
+        places = [forth[at + p.arm + p.gap + q] for q in range(p.arm - size + 1)]
+        own, met = turned[tail], np.zeros(len(at), bool)
+        for x in places:
+            met |= x == own
+        known = np.zeros(1 << 2 * size, bool)
+        known[[w for i in range(len(back) - size + 1) if (w := _word(back[i : i + size])) is not None]] = True
+        met |= known[forth[tail]]
+        hit = np.flatnonzero(met)
+        worst[hit] = np.maximum(worst[hit], melting(tail[hit], size))
+        mine = _word(back[:size]) if len(frame) >= size else None
+        if mine is not None:
+            met = np.zeros(len(at), bool)
+            for x in places:
+                met |= x == mine
+            worst[met] = np.maximum(worst[met], tm_of(scaffold_seq[-size:].upper()))
+    keep = at[worst <= p.structure_max].tolist()
     out = {k: [] for k in names}
     reach, k = 2 * p.arm + p.spacing, 0
     while k < len(keep):

@@ -45,10 +45,21 @@ def coding(spark: SparkSession, d: str) -> DataFrame:
     return contigs(spark, d).select("id", F.substr("seq", F.lit(1), F.length("seq") - F.length("seq") % 3).alias("seq"))
 
 
-def oligos(spark: SparkSession, d: str) -> DataFrame:
-    """``id, seq, seq_l, seq_r, barcode``: the current padlock probes."""
-    cols = ["padlock_seq", "seq_l", "seq_r", "barcode"]
-    return latest_rows(table(spark, d, "padlock_hits").select("hit_id", "loaded_at", *cols), ["hit_id"], "loaded_at", cols).select(F.col("hit_id").alias("id"), F.col("padlock_seq").alias("seq"), "seq_l", "seq_r", "barcode")
+def oligos(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """``id`` and the named ones of ``seq, seq_l, seq_r, barcode``: the current padlock probes.  Only named columns are read and exchanged."""
+    cols = ["padlock_seq" if c == "seq" else c for c in columns]
+    now = latest_rows(table(spark, d, "padlock_hits").select("hit_id", "loaded_at", *cols), ["hit_id"], "loaded_at", cols)
+    return now.select(F.col("hit_id").alias("id"), *[F.col(c).alias(n) for c, n in zip(cols, columns)])
+
+
+def oligos_of(*columns: str) -> Query:
+    """``oligos`` with these columns, under the name that SQL has for it."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return oligos(spark, d, *columns)
+
+    run.__name__ = "oligos"
+    return run
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:

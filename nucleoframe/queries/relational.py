@@ -25,7 +25,7 @@ rep AS (SELECT * FROM idx WHERE nxt IS NOT NULL OR prev IS NOT NULL)
 
 @query("pm10_word_list", "SELECT id, list_transform(range(1, length(seq) - 6), lambda i: substr(seq, i, 8)) || list_transform(range(1, length(seq) - 6), lambda i: substr(reverse(translate(seq, 'ACGT', 'TGCA')), i, 8)) AS words FROM oligos")
 def pm10(spark: SparkSession, d: str) -> DataFrame:
-    return base.oligos(spark, d).select("id", kmers.word_list(F.col("seq"), 8, True).alias("words"))
+    return base.oligos(spark, d, "seq").select("id", kmers.word_list(F.col("seq"), 8, True).alias("words"))
 
 
 @query("pm11_word_counts", _KMERS + "SELECT id, w AS word, count(*) AS n FROM km GROUP BY id, w")
@@ -124,7 +124,7 @@ def j1(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j2_seed_keys", "SELECT id, list_transform(range(0, 6), lambda s: {'shift': s::INT, 'look': substr(seq_l, s + 1, 3) || substr(seq_l, s + 5, 3) || substr(seq_l, s + 9, 3) || substr(seq_l, s + 13, 3)}) AS keys FROM oligos")
 def j2(spark: SparkSession, d: str) -> DataFrame:
-    return base.oligos(spark, d).select("id", similarity.seed_keys(F.col("seq_l"), "###-###-###-###-", 20).alias("keys"))
+    return base.oligos(spark, d, "seq_l").select("id", similarity.seed_keys(F.col("seq_l"), "###-###-###-###-", 20).alias("keys"))
 
 
 _NEAR = 'SELECT t.id AS target_id, ref_id, "offset", hamming(t.t, w)::INT AS hd FROM targets t, win WHERE hamming(t.t, w) <= 1'
@@ -442,7 +442,7 @@ def o5(spark: SparkSession, d: str) -> DataFrame:
 
 @query("e9_scaffold", "SELECT id, 'TCTAC' || barcode || 'AAGTT' AS scaffold FROM oligos")
 def e9(spark: SparkSession, d: str) -> DataFrame:
-    return base.oligos(spark, d).select("id", padlock.scaffold("TCTAC{barcode}AAGTT{armr}", F.col("barcode")).alias("scaffold"))
+    return base.oligos(spark, d, "barcode").select("id", padlock.scaffold("TCTAC{barcode}AAGTT{armr}", F.col("barcode")).alias("scaffold"))
 
 
 _E10 = f""", pairs AS (SELECT id, 0 AS k, seq_l AS a, seq_r AS b FROM oligos UNION ALL SELECT id, 1, seq_l, 'TCTACAAGTT' FROM oligos UNION ALL SELECT id, 2, 'TCTACAAGTT', seq_r FROM oligos),
@@ -459,7 +459,7 @@ SELECT id, gl BETWEEN 0.4 AND 0.6 AND gr BETWEEN 0.4 AND 0.6 AND clamp AND tl >=
 @query("e10_screen_arms", _E10)
 def e10(spark: SparkSession, d: str) -> DataFrame:
     s = padlock.screen_arms(F.col("seq_l"), F.col("seq_r"), F.lit("TCTACAAGTT"))
-    x = base.oligos(spark, d).select("id", s.alias("s"))
+    x = base.oligos(spark, d, "seq_l", "seq_r").select("id", s.alias("s"))
     return x.select("id", "s.ok", F.round("s.gc_l", 6).alias("gc_l"), F.round("s.gc_r", 6).alias("gc_r"), "s.l_clamp", *[F.round(f"s.{c}", 4).alias(c) for c in ("tm_l", "tm_r", "tm_hetero_0", "tm_hetero_1", "tm_hetero_2")])
 
 
@@ -488,7 +488,7 @@ def g1(spark: SparkSession, d: str) -> DataFrame:
 @query("g1_distance_graph", ", s AS (SELECT seq_l AS x FROM oligos WHERE length(seq_l) = 20 UNION SELECT left(seq_l, (id % 20)::INT) || 'C' || substr(seq_l, (id % 20)::INT + 2) FROM oligos WHERE length(seq_l) = 20), c AS (SELECT a.x AS i, b.x AS j FROM s a JOIN s b ON left(a.x, 10) = left(b.x, 10) AND a.x < b.x UNION SELECT a.x, b.x FROM s a JOIN s b ON right(a.x, 10) = right(b.x, 10) AND a.x < b.x) SELECT i, j, hamming(i, j)::INT AS distance FROM c WHERE hamming(i, j) <= 1")
 def g1d(spark: SparkSession, d: str) -> DataFrame:
     """All arms, and each once more with a C at one place."""
-    arms = base.oligos(spark, d).where("length(seq_l) = 20")
+    arms = base.oligos(spark, d, "seq_l").where("length(seq_l) = 20")
     other = arms.select(F.expr("concat(left(seq_l, cast(id % 20 as int)), 'C', substr(seq_l, cast(id % 20 as int) + 2))").alias("seq_l"))
     return similarity.distance_graph(arms.select("seq_l").unionByName(other).distinct(), "seq_l", "seq_l", 1, 20)
 
@@ -602,7 +602,7 @@ def d8(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _duplexes(spark: SparkSession, d: str) -> DataFrame:
-    o = base.oligos(spark, d)
+    o = base.oligos(spark, d, "seq_l", "barcode")
     return o.select("id", duplex.duplex(F.concat("barcode", "seq_l"), reverse_complement(F.concat("seq_l", "barcode")), -5).alias("d"))
 
 
@@ -614,7 +614,7 @@ def x1(spark: SparkSession, d: str) -> DataFrame:
 
 @query("x2_aligned_overhang")
 def x2(spark: SparkSession, d: str) -> DataFrame:
-    return base.oligos(spark, d).select("id", duplex.aligned_overhang(F.col("seq_l"), reverse_complement(F.substring("seq_l", 3, 12))).alias("overhang"))
+    return base.oligos(spark, d, "seq_l").select("id", duplex.aligned_overhang(F.col("seq_l"), reverse_complement(F.substring("seq_l", 3, 12))).alias("overhang"))
 
 
 @query("x3_ends", "SELECT id, 'FIVE' AS lt, barcode AS ls, 'FIVE' AS rt, reverse(translate(barcode, 'ACGT', 'TGCA')) AS rs FROM oligos")
@@ -730,7 +730,7 @@ def io12(spark: SparkSession, d: str) -> DataFrame:
 def io14(spark: SparkSession, d: str) -> DataFrame:
     part = lambda k, c, s: F.concat(F.lit(f"> {k}:1-"), F.length(c).cast("string"), F.lit(f" {s} a.fa\n"), F.substring(c, 1, 10), F.lit("\n"), F.substring(c, 11, 100), F.lit("\n"))
     text = F.concat(part(1, "seq_l", "+"), part(2, "seq_r", "-"), F.lit("=n"), F.col("id").cast("string"), F.lit("\n"))
-    return xmfa.parse_xmfa(base.oligos(spark, d).select("id", text.alias("text")), "id", "text")
+    return xmfa.parse_xmfa(base.oligos(spark, d, "seq_l", "seq_r").select("id", text.alias("text")), "id", "text")
 
 
 @query("io15_genbank_to_fasta", "SELECT '>' || info.accession || chr(10) || regexp_replace(regexp_replace(regexp_replace(seq, '[\\s\\d]', '', 'g'), '(.{60})', '\\1' || chr(10), 'g'), '\\n$', '') AS text FROM recs WHERE seq <> '' AND info.accession IS NOT NULL")

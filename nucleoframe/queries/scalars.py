@@ -28,14 +28,14 @@ scalar("s1_reverse", base.raws, lambda: {"out": seq.reverse(S())}, "reverse(seq)
 scalar("s2_complement", base.raws, lambda: {"out": seq.complement(S())}, f"{_COMP} AS out")
 scalar("s3_reverse_complement", base.raws, lambda: {"out": seq.reverse_complement(S())}, f"reverse({_COMP}) AS out")
 scalar("s5_simple_reverse_complement", base.raws, lambda: {"c": seq.simple_complement(S()), "rc": seq.simple_reverse_complement(S())}, "translate(seq, 'ACGTacgt', 'TGCATGCA') AS c, reverse(translate(seq, 'ACGTacgt', 'TGCATGCA')) AS rc")
-scalar("s6_random_sequence", base.oligos, lambda: {"out": seq.random_sequence(F.col("id"), 30, 7), "n": F.length(seq.random_duplex(F.col("id"), 30, 7)["rev"])}, None)
-scalar("s7_weighted_random_sequence", base.oligos, lambda: {"out": seq.random_sequence(F.col("id"), 30, 7, {"A": 0.4, "C": 0.1, "G": 0.1, "T": 0.4})}, None)
+scalar("s6_random_sequence", base.oligos_of(), lambda: {"out": seq.random_sequence(F.col("id"), 30, 7), "n": F.length(seq.random_duplex(F.col("id"), 30, 7)["rev"])}, None)
+scalar("s7_weighted_random_sequence", base.oligos_of(), lambda: {"out": seq.random_sequence(F.col("id"), 30, 7, {"A": 0.4, "C": 0.1, "G": 0.1, "T": 0.4})}, None)
 scalar("s15_wrap", base.contigs, lambda: {"out": seq.hard_wrap(S(), 60)}, r"regexp_replace(regexp_replace(seq, '(.{60})', '\1' || chr(10), 'g'), '\n$', '') AS out")
 
 
 @query("s8_random_avoiding_words", "SELECT id, 20 AS n, TRUE AS ok FROM oligos")
 def s8(spark: SparkSession, d: str) -> DataFrame:
-    made = base.oligos(spark, d).select("id", "seq_l", seq.random_avoiding(F.col("id"), L(), 20, 8, 3).alias("out"))
+    made = base.oligos(spark, d, "seq_l").select("id", "seq_l", seq.random_avoiding(F.col("id"), L(), 20, 8, 3).alias("out"))
     clear = ~F.arrays_overlap(kmers.word_list(F.col("out"), 8), kmers.word_list(L(), 8, True))
     return made.select("id", F.length("out").alias("n"), (metrics.homopolymer_at_most(F.col("out"), 3) & clear).alias("ok"))
 
@@ -93,15 +93,15 @@ def s14(spark: SparkSession, d: str) -> DataFrame:
 
 
 V = lambda: bits.seq_to_int(R())
-scalar("b1_seq_to_int", base.oligos, lambda: {"v": V()}, f"{code_sql('seq_r')} AS v")
-scalar("b2_int_to_seq", base.oligos, lambda: {"s": bits.int_to_seq(V(), F.length(R()))}, "seq_r AS s")
-scalar("b3_int_complement", base.oligos, lambda: {"v": bits.int_complement(V(), F.length(R()))}, f"{code_sql(chr(116) + 'ranslate(seq_r, ' + repr('ACGT') + ', ' + repr('TGCA') + ')')} AS v")
-scalar("b4_int_reverse_complement", base.oligos, lambda: {"v": bits.int_reverse_complement(V(), F.length(R()))}, f"{code_sql(rc_sql('seq_r'))} AS v")
-scalar("b5_int_reverse", base.oligos, lambda: {"v": bits.int_reverse(V(), F.length(R()))}, f"{code_sql('reverse(seq_r)')} AS v")
-scalar("b6_add_base", base.oligos, lambda: {"v": bits.add_base(V(), F.lit("G"))}, f"{code_sql('(seq_r || ' + repr('G') + ')')} AS v")
-scalar("b7_remove_base", base.oligos, lambda: {"v": bits.remove_base(V())}, f"{code_sql('left(seq_r, length(seq_r) - 1)')} AS v")
-scalar("b8_add_to_window", base.oligos, lambda: {"v": bits.add_to_window(V(), F.lit("G"), F.length(R()))}, f"{code_sql('(substr(seq_r, 2) || ' + repr('G') + ')')} AS v")
-scalar("b9_int_substring", base.oligos, lambda: {"v": bits.int_substring(V(), 5, 15, F.length(R())), "wide": bits.int_substring(V(), 5, 15, F.length(R()), True)}, f"{code_sql('substr(seq_r, 6, 10)')} AS v, {code_sql('left(seq_r, 15)')} AS wide")
+scalar("b1_seq_to_int", base.oligos_of("seq_r"), lambda: {"v": V()}, f"{code_sql('seq_r')} AS v")
+scalar("b2_int_to_seq", base.oligos_of("seq_r"), lambda: {"s": bits.int_to_seq(V(), F.length(R()))}, "seq_r AS s")
+scalar("b3_int_complement", base.oligos_of("seq_r"), lambda: {"v": bits.int_complement(V(), F.length(R()))}, f"{code_sql(chr(116) + 'ranslate(seq_r, ' + repr('ACGT') + ', ' + repr('TGCA') + ')')} AS v")
+scalar("b4_int_reverse_complement", base.oligos_of("seq_r"), lambda: {"v": bits.int_reverse_complement(V(), F.length(R()))}, f"{code_sql(rc_sql('seq_r'))} AS v")
+scalar("b5_int_reverse", base.oligos_of("seq_r"), lambda: {"v": bits.int_reverse(V(), F.length(R()))}, f"{code_sql('reverse(seq_r)')} AS v")
+scalar("b6_add_base", base.oligos_of("seq_r"), lambda: {"v": bits.add_base(V(), F.lit("G"))}, f"{code_sql('(seq_r || ' + repr('G') + ')')} AS v")
+scalar("b7_remove_base", base.oligos_of("seq_r"), lambda: {"v": bits.remove_base(V())}, f"{code_sql('left(seq_r, length(seq_r) - 1)')} AS v")
+scalar("b8_add_to_window", base.oligos_of("seq_r"), lambda: {"v": bits.add_to_window(V(), F.lit("G"), F.length(R()))}, f"{code_sql('(substr(seq_r, 2) || ' + repr('G') + ')')} AS v")
+scalar("b9_int_substring", base.oligos_of("seq_r"), lambda: {"v": bits.int_substring(V(), 5, 15, F.length(R())), "wide": bits.int_substring(V(), 5, 15, F.length(R()), True)}, f"{code_sql('substr(seq_r, 6, 10)')} AS v, {code_sql('left(seq_r, 15)')} AS wide")
 
 _GC = "length(regexp_replace(seq, '[^GC]', '', 'g'))"
 _OWN = "regexp_replace(seq, '[^ACGT]', '', 'g')"
@@ -113,7 +113,7 @@ def _run(x: str) -> str:
 
 scalar("pm1_gc_content", base.contigs, lambda: {"gc": F.round(metrics.gc_content(S()), 6)}, f"round({_GC} / nullif(length(seq), 0), 6) AS gc")
 scalar("pm2_max_runs", base.contigs, lambda: {"runs": metrics.max_runs(S())}, "[" + ", ".join(_run(x) for x in ("A", "C", "G", "T", "AT", "GC")) + "] AS runs")
-scalar("pm3_runs_within", base.oligos, lambda: {"ok": metrics.runs_within(S(), 3, 3, 3, 3, 7, 7)}, " AND ".join(f"{_run(x)} <= {n}" for x, n in (("A", 3), ("T", 3), ("G", 3), ("C", 3), ("AT", 7), ("GC", 7))) + " AS ok")
+scalar("pm3_runs_within", base.oligos_of("seq"), lambda: {"ok": metrics.runs_within(S(), 3, 3, 3, 3, 7, 7)}, " AND ".join(f"{_run(x)} <= {n}" for x, n in (("A", 3), ("T", 3), ("G", 3), ("C", 3), ("AT", 7), ("GC", 7))) + " AS ok")
 
 
 @query("pm4_gc_window", """, gw AS (SELECT id, length(seq) AS n, o, length(regexp_replace(substr(seq, o::INT + 1, 20), '[^GC]', '', 'g')) AS gc FROM oligos, unnest(range(0, length(seq) - 19)) AS r(o)),
@@ -122,36 +122,36 @@ SELECT g.id, b.o IS NULL AS passed, g.o::INT AS start, g.gc::INT AS gc FROM gw g
 def pm4(spark: SparkSession, d: str) -> DataFrame:
     """Bounds of a 90-letter probe: 30 percent less what the window lacks, so that windows of 20 can meet them."""
     w = metrics.gc_window(S(), 9, 20, 20)
-    return base.oligos(spark, d).select("id", w.alias("w")).select("id", "w.passed", "w.start", "w.gc")
+    return base.oligos(spark, d, "seq").select("id", w.alias("w")).select("id", "w.passed", "w.start", "w.gc")
 
 
-scalar("pm5_gc_between", base.oligos, lambda: {"ok": metrics.gc_between(S(), 0.4, 0.5)}, f"({_GC} / length(seq)) BETWEEN 0.4 AND 0.5 AS ok")
-scalar("pm6_gc_at_run", base.oligos, lambda: {"gc": metrics.run_at_most(S(), "GC", 6), "at": metrics.run_at_most(S(), "AT", 6)}, "NOT regexp_matches(seq, '[GC]{7}') AS gc, NOT regexp_matches(seq, '[AT]{7}') AS at")
-scalar("pm7_homopolymer", base.oligos, lambda: {"ok": metrics.homopolymer_at_most(S(), 3)}, "NOT regexp_matches(seq, 'A{4}|C{4}|G{4}|T{4}|N{4}') AS ok")
-scalar("pm8_max_run", base.oligos, lambda: {"ok": metrics.max_run_within(S(), {"A": 3, "C": 2, "G": 0, "GC": 7}), "compat": metrics.max_run_within(S(), {"A": 3, "C": 2, "G": 0, "GC": 7}, True)}, "NOT regexp_matches(seq, 'A{4}|C{3}|[GC]{8}') AS ok, NOT regexp_matches(seq, 'A{5}|C{4}|[GC]{9}') AS compat")
+scalar("pm5_gc_between", base.oligos_of("seq"), lambda: {"ok": metrics.gc_between(S(), 0.4, 0.5)}, f"({_GC} / length(seq)) BETWEEN 0.4 AND 0.5 AS ok")
+scalar("pm6_gc_at_run", base.oligos_of("seq"), lambda: {"gc": metrics.run_at_most(S(), "GC", 6), "at": metrics.run_at_most(S(), "AT", 6)}, "NOT regexp_matches(seq, '[GC]{7}') AS gc, NOT regexp_matches(seq, '[AT]{7}') AS at")
+scalar("pm7_homopolymer", base.oligos_of("seq"), lambda: {"ok": metrics.homopolymer_at_most(S(), 3)}, "NOT regexp_matches(seq, 'A{4}|C{4}|G{4}|T{4}|N{4}') AS ok")
+scalar("pm8_max_run", base.oligos_of("seq"), lambda: {"ok": metrics.max_run_within(S(), {"A": 3, "C": 2, "G": 0, "GC": 7}), "compat": metrics.max_run_within(S(), {"A": 3, "C": 2, "G": 0, "GC": 7}, True)}, "NOT regexp_matches(seq, 'A{4}|C{3}|[GC]{8}') AS ok, NOT regexp_matches(seq, 'A{5}|C{4}|[GC]{9}') AS compat")
 
 
 @query("pm9_agreement_check", """, agree AS (SELECT o.id, list_max(list_transform(regexp_extract_all(array_to_string(list_transform(range(1, 6), lambda i: CASE WHEN substr(o.barcode, i, 1) = substr(b.barcode, i, 1) THEN '1' ELSE '0' END), ''), '1+'), lambda x: length(x))) AS m FROM oligos o, bars b)
 SELECT id, max(coalesce(m, 0)) <= 4 AS ok FROM agree GROUP BY id""")
 def pm9(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.agreement_check(base.oligos(spark, d), "id", "barcode", base.barcodes(spark, d), 4)
+    return similarity.agreement_check(base.oligos(spark, d, "barcode"), "id", "barcode", base.barcodes(spark, d), 4)
 
 
-scalar("pm13_hamming", base.oligos, lambda: {"hd": metrics.hamming(L(), R()), "packed": metrics.hamming_packed(bits.seq_to_int(L()), bits.seq_to_int(R()))}, "hamming(seq_l, seq_r)::INT AS hd, hamming(seq_l, seq_r)::INT AS packed")
+scalar("pm13_hamming", base.oligos_of("seq_l", "seq_r"), lambda: {"hd": metrics.hamming(L(), R()), "packed": metrics.hamming_packed(bits.seq_to_int(L()), bits.seq_to_int(R()))}, "hamming(seq_l, seq_r)::INT AS hd, hamming(seq_l, seq_r)::INT AS packed")
 
 
 @query("pm14_min_hamming", "SELECT o.id, min(hamming(o.barcode, b.barcode))::INT AS hd FROM oligos o, bars b GROUP BY o.id")
 def pm14(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.nearest(base.oligos(spark, d), "id", "barcode", base.barcodes(spark, d))
+    return similarity.nearest(base.oligos(spark, d, "barcode"), "id", "barcode", base.barcodes(spark, d))
 
 
 _ROLL = "list_transform(range(0, length(seq) - length(barcode) + 1), lambda o: hamming(barcode, substr(seq, o + 1, length(barcode)))::INT)"
-scalar("pm15_rolling_hamming", base.oligos, lambda: {"hds": metrics.rolling_hamming(F.col("barcode"), S())}, f"{_ROLL} AS hds")
-scalar("pm16_min_placed_hamming", base.oligos, lambda: {"hd": metrics.min_hamming(F.col("barcode"), S())}, f"list_min({_ROLL}) AS hd")
+scalar("pm15_rolling_hamming", base.oligos_of("seq", "barcode"), lambda: {"hds": metrics.rolling_hamming(F.col("barcode"), S())}, f"{_ROLL} AS hds")
+scalar("pm16_min_placed_hamming", base.oligos_of("seq", "barcode"), lambda: {"hd": metrics.min_hamming(F.col("barcode"), S())}, f"list_min({_ROLL}) AS hd")
 _BOTH = "hamming(seq_l, seq_r) > 12 AND hamming(seq_l, reverse(seq_r)) > 12"
-scalar("pm18_hamming_both_ways", base.oligos, lambda: {"ok": metrics.hamming_both_ways(L(), R(), 12)}, f"{_BOTH} AS ok")
-scalar("pm19_hamming_3p", base.oligos, lambda: {"ok": metrics.hamming_and_3p(L(), R(), 12)}, f"{_BOTH} AND right(seq_l, 3) <> right(seq_r, 3) AND right(seq_l, 3) <> reverse(left(seq_r, 3)) AND reverse(left(seq_l, 3)) <> right(seq_r, 3) AS ok")
-scalar("pm20_gc_clamps", base.oligos, lambda: {"r": metrics.right_arm_clamp(R()), "l": metrics.left_arm_clamp(L())}, "length(regexp_replace(right(seq_r, 5), '[^GC]', '', 'g')) AS r, length(regexp_replace(left(seq_l, 5), '[^GC]', '', 'g')) AS l")
+scalar("pm18_hamming_both_ways", base.oligos_of("seq_l", "seq_r"), lambda: {"ok": metrics.hamming_both_ways(L(), R(), 12)}, f"{_BOTH} AS ok")
+scalar("pm19_hamming_3p", base.oligos_of("seq_l", "seq_r"), lambda: {"ok": metrics.hamming_and_3p(L(), R(), 12)}, f"{_BOTH} AND right(seq_l, 3) <> right(seq_r, 3) AND right(seq_l, 3) <> reverse(left(seq_r, 3)) AND reverse(left(seq_l, 3)) <> right(seq_r, 3) AS ok")
+scalar("pm20_gc_clamps", base.oligos_of("seq_l", "seq_r"), lambda: {"r": metrics.right_arm_clamp(R()), "l": metrics.left_arm_clamp(L())}, "length(regexp_replace(right(seq_r, 5), '[^GC]', '', 'g')) AS r, length(regexp_replace(left(seq_l, 5), '[^GC]', '', 'g')) AS l")
 
 _H = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in thermo.ENTHALPY.items()) + "}"
 _E = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in thermo.ENTROPY.items()) + "}"
@@ -208,13 +208,13 @@ _TH = f"""SELECT id, seq_l, -100.0 * (h - 23 * ends - (2 - ends)) AS dh, -0.1 *
 
 @query("t6_thermo", f"SELECT id, round(dh, 4) AS dh, round(ds, 4) AS ds, round(dh / (ds + 1.987 * ln(50 / CASE WHEN sym THEN 1e9 ELSE 4e9 END)) - 273.15, 4) AS tm FROM ({_TH})")
 def t6(spark: SparkSession, d: str) -> DataFrame:
-    t = base.oligos(spark, d).select("id", thermo.thermo(F.col("seq_l")).alias("t")).where("t is not null")
+    t = base.oligos(spark, d, "seq_l").select("id", thermo.thermo(F.col("seq_l")).alias("t")).where("t is not null")
     return t.select("id", *[F.round(f"t.{c}", 4).alias(c) for c in ("dh", "ds", "tm")])
 
 
 @query("t7_melting_temperature", f"SELECT id, round(dh / (ds + 1.987 * ln(50 / CASE WHEN sym THEN 1e9 ELSE 4e9 END)) - 273.15, 4) AS tm FROM ({_TH})")
 def t7(spark: SparkSession, d: str) -> DataFrame:
-    return base.oligos(spark, d).select("id", F.round(thermo.melting_temperature(F.col("seq_l")), 4).alias("tm")).where("tm is not null")
+    return base.oligos(spark, d, "seq_l").select("id", F.round(thermo.melting_temperature(F.col("seq_l")), 4).alias("tm")).where("tm is not null")
 
 
-scalar("t8_heterodimer_proxy", base.oligos, lambda: {"tm": F.round(thermo.heterodimer_proxy(L(), R()), 4)}, None)
+scalar("t8_heterodimer_proxy", base.oligos_of("seq_l", "seq_r"), lambda: {"tm": F.round(thermo.heterodimer_proxy(L(), R()), 4)}, None)

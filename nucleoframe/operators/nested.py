@@ -8,8 +8,11 @@ typed columns (structs, arrays, maps) and JSON held as variants.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
@@ -102,6 +105,59 @@ class SchemaGraph:
         return cls(root, list(found.values()))
 
 
+    @classmethod
+    def of_json(cls, df: DataFrame, text: str, root: str, key: str = "id", most: int = 10_000) -> SchemaGraph:
+        """The graph of the JSON objects in a text column, from all rows.
+
+        Every name under which objects stand is an element, many if they stand in an array
+        anywhere, whatever their parent (shared) or depth (recursive); other fields are
+        scalars of the narrowest SQL type that holds all their values, string where they
+        are mixed or arrays of plain values.  Each task reports every name once, so the
+        rows that are gathered are as many as names; more than ``most`` are an error, as
+        then the names are data (use a map).  Null and incomplete texts count for nothing.
+        """
+
+        def walk(e: str, x: dict, seen: set[tuple[str, str, str]]) -> None:
+            for k, v in x.items():
+                inner = [v] if isinstance(v, dict) else [y for y in v if isinstance(y, dict)] if isinstance(v, list) else []
+                if inner:
+                    seen.add((e, k, "many" if isinstance(v, list) else "one"))
+                    for y in inner:
+                        walk(k, y, seen)
+                elif v is not None and v != []:
+                    seen.add((e, k, {bool: "boolean", int: "bigint", float: "double"}.get(type(v), "string")))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[tuple[str, str, str]] = set()
+            for b in batches:
+                for t in b.column(0).to_pylist():
+                    try:
+                        x = json.loads(t) if t is not None else None
+                    except ValueError:
+                        continue
+                    if isinstance(x, dict):
+                        walk(root, x, seen)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*seen)] if seen else [pa.array([], pa.string())] * 3, ["element", "field", "kind"])
+
+        rows = df.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "element string, field string, kind string").distinct().limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"more than {most} names")
+        kinds: dict[tuple[str, str], set[str]] = {}
+        for r in rows:
+            kinds.setdefault((r["element"], r["field"]), set()).add(r["kind"])
+        out = {root: Element(root)}
+        for (e, k), ks in sorted(kinds.items()):
+            own = out.setdefault(e, Element(e))
+            if ks & {"one", "many"}:
+                own.edges.append(Edge(k, k, many="many" in ks))
+                out.setdefault(k, Element(k))
+            else:
+                own.scalars[k] = next(iter(ks)) if len(ks) == 1 else "double" if ks == {"bigint", "double"} else "string"
+        for e in out.values():
+            e.key = key if key in e.scalars else None
+        return cls(root, list(out.values()))
+
+
 class _Typed:
     """Access to nested Spark columns."""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -209,11 +210,11 @@ def distance_graph(seqs: DataFrame, key: str, seq: str, within: int, m: int) ->
     return pairs.groupBy("i", "j").agg(F.min("distance").alias("distance"))
 
 
-def full_graph(seqs: DataFrame, key: str, seq: str, kind: str = "equal", least: int = 2, most_rows: int = 5000) -> DataFrame:
-    """``i, j, distance`` (or ``linked`` for the compatibility kinds) of all pairs of a small set.
+def full_graph(seqs: DataFrame, key: str, seq: str, kind: str = "equal", least: int = 2, block: int = 2000) -> DataFrame:
+    """``i, j, distance`` (or ``linked`` for the compatibility kinds) of all pairs (i < j) of a set.
 
-    A matrix of all pairs is quadratic by definition, so the set is bounded: more than
-    ``most_rows`` rows are refused.  The set is sent to the tasks as one constant block.
+    A matrix of all pairs is quadratic by definition.  The rows are taken in blocks of
+    fixed size, each a constant of the plan that is held against all rows.
 
     kinds: ``equal`` (Hamming distance), ``placed`` (smallest over all placements of the
     shorter), ``both_ways`` and ``both_ways_3p`` (1 if the pair is compatible).
@@ -221,20 +222,19 @@ def full_graph(seqs: DataFrame, key: str, seq: str, kind: str = "equal", least:
     from nucleoframe.functions import metrics
 
     rows = seqs.select(F.col(f"`{key}`").alias("i"), F.col(f"`{seq}`").alias("a")).where("a is not null")
-    pool = rows.limit(most_rows + 1).collect()
-    if len(pool) > most_rows:
-        raise ValueError(f"all pairs are asked for of more than {most_rows} rows")
-    if not pool:
-        return rows.select("i", F.col("i").alias("j"), F.lit(0).alias("distance"))
-    block = F.array(*[F.struct(F.lit(r["i"]).alias("j"), F.lit(r["a"]).alias("b")) for r in pool])
-    pairs = rows.select("i", "a", F.explode(block).alias("x")).select("i", "a", "x.j", "x.b").where("i < j")
     a, b = F.col("a"), F.col("b")
     if kind == "equal":
-        return pairs.select("i", "j", hamming(a, b).alias("distance"))
-    if kind == "placed":
-        return pairs.select("i", "j", F.when(F.length(a) <= F.length(b), metrics.min_hamming(a, b)).otherwise(metrics.min_hamming(b, a)).alias("distance"))
-    test = metrics.hamming_both_ways(a, b, least) if kind == "both_ways" else metrics.hamming_and_3p(a, b, least)
-    return pairs.select("i", "j", test.cast("int").alias("linked"))
+        value = hamming(a, b).alias("distance")
+    elif kind == "placed":
+        value = F.when(F.length(a) <= F.length(b), metrics.min_hamming(a, b)).otherwise(metrics.min_hamming(b, a)).alias("distance")
+    else:
+        value = (metrics.hamming_both_ways(a, b, least) if kind == "both_ways" else metrics.hamming_and_3p(a, b, least)).cast("int").alias("linked")
+    out, pool = None, rows.toLocalIterator()
+    while (some := list(islice(pool, block))) or out is None:
+        every = F.array(*[F.struct(F.lit(r["i"]).alias("j"), F.lit(r["a"]).alias("b")) for r in some]) if some else F.array().cast(f"array<struct<j:{dict(rows.dtypes)['i']},b:string>>")
+        part = rows.select("i", "a", F.explode(every).alias("x")).select("i", "a", "x.j", "x.b").where("i < j").select("i", "j", value)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def agreement_check(df: DataFrame, key: str, seq: str, pool: list[str], max_run: int) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from nucleoframe.common import table
 from nucleoframe.operators.islands import exon_periods
-from nucleoframe.operators.nested import nested_parts
+from nucleoframe.operators.nested import SchemaGraph, lookup_genes, nested_parts
 from nucleoframe.queries import base, datasets, relational, scalars  # noqa: F401
 
 
@@ -20,6 +21,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested_parts(table(spark, sf_dir, "lookup_raw"), table(spark, sf_dir, "genbank"))
 
 
+def p4_json_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schema graph of the looked-up genes, from all of them: scalar fields with their types, elements with one or many."""
+    found = lookup_genes(table(spark, sf_dir, "lookup_raw")).select(F.to_json("gene").alias("text"))
+    graph = SchemaGraph.of_json(found, "text", "Gene")
+    rows = [(e.name, f, k) for e in graph.elements.values() for f, k in e.scalars.items()] + [(e.name, x.name, "many" if x.many else "one") for e in graph.elements.values() for x in e.edges]
+    return spark.createDataFrame(rows, "element string, field string, kind string")
+
+
 P3_SQL = r"""
 WITH cur AS (
   SELECT upper(regexp_replace(regexp_replace(regexp_replace(trim("Parent"), '^.*:', ''), '^\s+|\s+$', '', 'g'), '\.\d+$', '')) AS parent, id, seq_region_name, least("start", "end") AS lo, greatest("start", "end") AS hi, "start" AS s, "end" AS e
@@ -57,7 +66,7 @@ UNION ALL SELECT 'translation', rec_id::VARCHAR, place::VARCHAR, i::INT, n::VARC
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p4_found": p4_found} | {name: e.run for name, e in base.ENTRIES.items()}
+    return {"p3_found": p3_found, "p4_found": p4_found, "p4_json_graph": p4_json_graph} | {name: e.run for name, e in base.ENTRIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

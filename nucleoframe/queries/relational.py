@@ -515,7 +515,10 @@ def _edges(spark: SparkSession, d: str, least: int) -> DataFrame:
     return similarity.full_graph(_bars(spark, d), "barcode", "barcode").where(F.col("distance") >= least)
 
 
-@query("g5_maximal_cliques")
+@query("g5_maximal_cliques", """, e AS (SELECT a.barcode AS i, b.barcode AS j FROM bars a JOIN bars b ON hamming(a.barcode, b.barcode) >= 4),
+near AS (SELECT i, list(j) AS js FROM e GROUP BY i),
+grown AS (SELECT [i] AS members, js AS may FROM near UNION ALL SELECT list_append(members, n.i), list_intersect(may, n.js) FROM grown JOIN near n ON n.i > members[-1] AND list_contains(may, n.i))
+SELECT (row_number() OVER (ORDER BY len(members) DESC, members))::INT AS clique_no, len(members)::INT AS size, members FROM grown WHERE len(may) = 0 AND len(members) >= 2""")
 def g5(spark: SparkSession, d: str) -> DataFrame:
     return graph.find_cliques(_edges(spark, d, 4), "i", "j")
 

@@ -217,4 +217,10 @@ def t7(spark: SparkSession, d: str) -> DataFrame:
     return base.oligos(spark, d, "seq_l").select("id", F.round(thermo.melting_temperature(F.col("seq_l")), 4).alias("tm")).where("tm is not null")
 
 
-scalar("t8_heterodimer_proxy", base.oligos_of("seq_l", "seq_r"), lambda: {"tm": F.round(thermo.heterodimer_proxy(L(), R()), 4)}, None)
+_TAILS = f"""tails AS (SELECT DISTINCT id, right(seq_l, n::INT) AS t FROM oligos, unnest(range(4, 9)) AS r(n) WHERE length(seq_l) >= n AND contains({rc_sql("seq_r")}, right(seq_l, n::INT))),
+one AS (SELECT t, {tm_sql("t")} AS tm FROM (SELECT DISTINCT t FROM tails WHERE regexp_full_match(t, '[ACGT]+')))"""
+
+
+@query("t8_heterodimer_proxy", f", {_TAILS} SELECT o.id, round(greatest(0, coalesce(max(tm), 0)), 4) AS tm FROM oligos o LEFT JOIN tails t ON t.id = o.id LEFT JOIN one USING (t) GROUP BY o.id")
+def t8(spark: SparkSession, d: str) -> DataFrame:
+    return base.oligos(spark, d, "seq_l", "seq_r").select("id", F.round(thermo.heterodimer_proxy(L(), R()), 4).alias("tm"))

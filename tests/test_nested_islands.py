@@ -3,6 +3,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from nucleoframe.operators import islands, nested
@@ -107,3 +108,25 @@ def test_lookup_and_records(spark):
     out = sorted(map(tuple, nested.nested_parts(look, gb).collect()))
     assert out == sorted([("exon", "G", "T", 2, "e2"), ("exon", "G", "T", 5, "e5"), ("exon", "K", "T2", 1, "lone"), ("location", "1", "1", 1, "1..3"), ("translation", "1", "1", 1, "2")])
     assert nested.nested_parts(look.limit(0), gb.limit(0)).count() == 0
+
+
+def test_graph_of_json_texts(spark):
+    texts = [
+        '{"id": "g", "n": 1, "Kid": [{"id": "a", "x": 1}, null, {"id": "b", "x": 2.5, "Toy": {"w": true}}], "tags": ["p", "q"], "none": null}',
+        '{"id": "h", "n": "two", "Kid": {"id": "c", "Kid": [{"id": "d"}]}, "Toy": {"w": false, "id": 3}, "empty": []}', None, '{"id": ', "[1]",
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    graph = nested.SchemaGraph.of_json(df, "t", "Top")
+    kinds = {e.name: (e.scalars, {(x.name, x.many) for x in e.edges}, e.key) for e in graph.elements.values()}
+    assert kinds == {
+        "Top": ({"id": "string", "n": "string", "tags": "string"}, {("Kid", True), ("Toy", False)}, "id"),
+        "Kid": ({"id": "string", "x": "double"}, {("Kid", True), ("Toy", False)}, "id"),
+        "Toy": ({"id": "bigint", "w": "boolean"}, set(), "id"),
+    }
+    assert graph.recursive == {"Kid"} and set(graph.tables) == {"Top", "Kid", "Toy"}
+    rows = df.select("i", nested.whole_json(F.col("t")).alias("v")).where("v is not null and i < 2")
+    kids = nested.Shredded.json(rows, "i", "v", graph).table("Kid")
+    assert sorted((r["root_id"], r["parent_key"], r["child_no"], r["Kid_id"], r["Kid_x"]) for r in kids.collect()) == [(0, "g", 1, "a", 1.0), (0, "g", 3, "b", 2.5), (1, "c", 1, "d", None), (1, "h", 1, "c", None)]
+    assert nested.SchemaGraph.of_json(df.limit(0), "t", "Top").tables == ["Top"]
+    with pytest.raises(ValueError):
+        nested.SchemaGraph.of_json(df, "t", "Top", most=3)

@@ -7,8 +7,11 @@ strand's end (positive: the reverse strand is longer on the left).
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from nucleoframe.functions.metrics import rolling_hamming
 from nucleoframe.functions.seq import reverse_complement
@@ -28,6 +31,64 @@ def aligned_overhang(fwd: Column, rev: Column) -> Column:
     return F.when(long, -(F.array_position(in_fwd, F.array_min(in_fwd)) - 1)).otherwise(F.array_position(in_rev, F.array_min(in_rev)) - 1).cast("int")
 
 
+def local_alignments(a: list[str], b: list[str], match: int = 2, mismatch: int = -2, gap_open: int = 3, gap_extend: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Best score of a local alignment of each pair, and where it begins: place in ``b`` less place in ``a``.
+
+    Affine gaps (the first letter of a gap costs ``gap_open``, each further one
+    ``gap_extend``); the cells of all pairs are filled together, so the work is the
+    product of the greatest lengths.  Of equal scores the cell that is first in ``a``, then
+    in ``b``, wins; in a cell a letter pair goes before a gap in ``b``, this before one in
+    ``a``.  Without any equal letter both are 0.
+    """
+    def coded(texts: list[str], pad: int) -> np.ndarray:
+        out = np.full((max(map(len, texts), default=0), len(texts)), pad, np.int32)
+        for i, t in enumerate(texts):
+            out[: len(t), i] = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+        return out
+
+    x, y = coded(a, -1), coded(b, -2)
+    n, low = len(a), -(1 << 20)
+    zero = lambda v=0: np.full((len(y) + 1, n), v, np.int32)
+    high, high_at, up, up_at = zero(), zero(), zero(low), zero()
+    best, best_at = np.zeros(n, np.int32), np.zeros(n, np.int32)
+    for i, letter in enumerate(x):
+        new, new_at = zero(), zero()
+        side, side_at = np.full(n, low, np.int32), np.zeros(n, np.int32)
+        for j, other in enumerate(y):
+            deeper = up[j + 1] - gap_extend > high[j + 1] - gap_open
+            up_at[j + 1] = np.where(deeper, up_at[j + 1], high_at[j + 1])
+            up[j + 1] = np.where(deeper, up[j + 1] - gap_extend, high[j + 1] - gap_open)
+            wider = side - gap_extend > new[j] - gap_open
+            side_at = np.where(wider, side_at, new_at[j])
+            side = np.where(wider, side - gap_extend, new[j] - gap_open)
+            score, at = high[j] + np.where(letter == other, match, mismatch), np.where(high[j] > 0, high_at[j], j - i)
+            for gap, gap_at in ((up[j + 1], up_at[j + 1]), (side, side_at)):
+                better = gap > score
+                score, at = np.where(better, gap, score), np.where(better, gap_at, at)
+            new[j + 1], new_at[j + 1] = np.maximum(score, 0), at
+            better = new[j + 1] > best
+            best, best_at = np.where(better, new[j + 1], best), np.where(better, at, best_at)
+        high, high_at = new, new_at
+    return best, best_at
+
+
+@F.pandas_udf(StructType([StructField("score", IntegerType()), StructField("overhang", IntegerType())]))
+def _aligned(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    score, at = np.zeros(len(a), object), np.zeros(len(a), object)
+    whole = (a.notna() & b.notna()).to_numpy()
+    size = a.str.len().fillna(0).to_numpy() * b.str.len().fillna(0).to_numpy()
+    order = np.flatnonzero(whole)[np.argsort(size[whole], kind="stable")]
+    for part in np.array_split(order, max(1, len(order) // 500)):  # pairs of like size together
+        score[part], at[part] = local_alignments(a.iloc[part].tolist(), b.iloc[part].tolist())
+    score[~whole] = at[~whole] = None
+    return pd.DataFrame({"score": score, "overhang": at})
+
+
+def gapped_overhang(fwd: Column, rev: Column) -> Column:
+    """``score, overhang`` of the best local alignment with gaps of the forward strand and the reverse complement of the other; null for a null strand."""
+    return _aligned(fwd, reverse_complement(rev))
+
+
 def right_overhang(d: Column) -> Column:
     """How far the forward strand reaches beyond the reverse one on the right (negative: falls short)."""
     return F.length(d["fwd"]) + d["overhang"] - F.length(d["rev"])

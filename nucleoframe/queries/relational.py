@@ -620,6 +620,12 @@ def x2(spark: SparkSession, d: str) -> DataFrame:
     return base.oligos(spark, d, "seq_l").select("id", duplex.aligned_overhang(F.col("seq_l"), reverse_complement(F.substring("seq_l", 3, 12))).alias("overhang"))
 
 
+@query("x2_gapped_overhang", "SELECT id, (length(seq_l) - 2)::INT * 2 AS score, -2 AS overhang FROM oligos WHERE length(seq_l) > 12")
+def x2g(spark: SparkSession, d: str) -> DataFrame:
+    """The strand from its third letter on: all of it agrees, two letters further on."""
+    return base.oligos(spark, d, "seq_l").where("length(seq_l) > 12").select("id", duplex.gapped_overhang(F.col("seq_l"), reverse_complement(F.substring("seq_l", 3, 1 << 10))).alias("x")).select("id", "x.score", "x.overhang")
+
+
 @query("x3_ends", "SELECT id, 'FIVE' AS lt, barcode AS ls, 'FIVE' AS rt, reverse(translate(barcode, 'ACGT', 'TGCA')) AS rs FROM oligos")
 def x3(spark: SparkSession, d: str) -> DataFrame:
     x = _duplexes(spark, d)

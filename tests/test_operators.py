@@ -234,3 +234,35 @@ def test_range_join_swaps_bounds(spark):
     f = spark.createDataFrame([("x", "1", 210, 190), ("y", "1", 260, 255), ("z", "1", 5, None)], "fid string, c string, a long, b long")
     j = regions.range_join(q, f, "c", ("id", "s", "e"), ("a", "b"))
     assert sorted((r["query_id"], r["fid"]) for r in j.collect()) == [("g", "x"), ("h", "y")]
+
+
+def local_brute(a, b):
+    """Best local score by the three recurrences, cell by cell."""
+    low, best = -(10**6), 0
+    H = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    E, G = ([[low] * (len(b) + 1) for _ in range(len(a) + 1)] for _ in "ab")
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            E[i][j] = max(E[i - 1][j] - 1, H[i - 1][j] - 3)
+            G[i][j] = max(G[i][j - 1] - 1, H[i][j - 1] - 3)
+            H[i][j] = max(0, H[i - 1][j - 1] + (2 if a[i - 1] == b[j - 1] else -2), E[i][j], G[i][j])
+            best = max(best, H[i][j])
+    return best
+
+
+def test_local_alignments(spark):
+    rng = random.Random(11)
+    pairs = [("".join(rng.choices("ACGT", k=rng.randint(0, 12))), "".join(rng.choices("ACGT", k=rng.randint(0, 12)))) for _ in range(200)]
+    score, at = duplex.local_alignments([a for a, _ in pairs], [b for _, b in pairs])
+    assert score.tolist() == [local_brute(a, b) for a, b in pairs]
+    core = "ACGTTGCATTAGCCATGG"
+    cases = [(core, core), ("TT" + core, core), (core, "GGA" + core), (core, core[:9] + core[11:]), ("AAA", "CCC"), (core[4:], core)]
+    score, at = duplex.local_alignments(*map(list, zip(*cases)))
+    assert at.tolist()[:4] == [0, -2, 3, 0] and at.tolist()[5] == 4 and score.tolist() == [36, 36, 36, 32 - 4, 0, 28]
+    df = spark.createDataFrame([(core, reverse_complement_of(core[2:])), (core, None), ("", "")], "f string, r string")
+    got = df.select(duplex.gapped_overhang(F.col("f"), F.col("r")).alias("x")).select("x.*").collect()
+    assert [tuple(r) for r in got] == [(32, -2), (None, None), (0, 0)]
+
+
+def reverse_complement_of(s):
+    return s.translate(str.maketrans("ACGT", "TGCA"))[::-1]

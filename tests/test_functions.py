@@ -86,3 +86,24 @@ def test_thermo_agrees_with_python(spark, words):
     got = column(spark, words, F.round(thermo.melting_temperature(F.col("s")), 6))
     assert got == [round(thermo.tm_of(w), 6) for w in words]
     assert column(spark, ["ACGN", "A", None], thermo.melting_temperature(F.col("s"))) == [None, None, None]
+
+
+def test_weighted_codons_follow_the_usage(spark):
+    """Of 4,000 draws for one residue each codon has its share, within four standard deviations; a rare codon below the threshold none."""
+    usage = spark.createDataFrame([("x", "L", "CTG", 0.6), ("x", "L", "TTA", 0.3), ("x", "L", "CTC", 0.1), ("x", "M", "ATG", 1.0), ("y", "L", "CTT", 1.0)], "g string, aa string, codon string, freq double")
+    df = spark.createDataFrame([(i, "LM" * 100) for i in range(40)] + [(99, "LW"), (98, None)], "id int, aa string")
+
+    def drawn(threshold):
+        out = codon.weighted_reverse_translate(F.col("aa"), F.col("id"), usage, "g", "x", threshold)
+        return {r["id"]: r["d"] for r in df.select("id", out.alias("d")).collect()}
+
+    got = drawn(0.0)
+    assert got[99] is None and got[98] is None
+    words = [got[i][a : a + 3] for i in range(40) for a in range(0, 600, 3)]
+    n = {c: words.count(c) for c in set(words)}
+    assert n.pop("ATG") == 4000 and set(n) == {"CTG", "TTA", "CTC"}
+    for c, p in (("CTG", 0.6), ("TTA", 0.3), ("CTC", 0.1)):
+        assert abs(n[c] - 4000 * p) < 4 * (4000 * p * (1 - p)) ** 0.5
+    assert len({got[i] for i in range(40)}) == 40
+    some = "".join(drawn(0.2)[i] for i in range(40))
+    assert {some[a : a + 3] for a in range(0, len(some), 3)} == {"CTG", "TTA", "ATG"}

@@ -30,7 +30,7 @@ HOLDS = {
     "p4_json_graph": lambda r: r["field"] != "Exon" or (r["element"], r["kind"]) == ("Transcript", "many"),
     "s6_random_sequence": lambda r: len(r["out"]) == r["n"] == 30 and not set(r["out"]) - set("ACGT"),
     "s7_weighted_random_sequence": lambda r: len(r["out"]) == 30 and not set(r["out"]) - set("ACGT"),
-    "w6_all_repeats": lambda r: True,
+    "w6_all_repeats": lambda r: len(r["repeat"]) >= 12 and len(r["places"]) > 1 and r["places"] == sorted(set(r["places"])) and not set(r["repeat"]) - set("ACGT"),
     "x10_digest_circular": lambda r: len(r["fragment"]) == r["end_idx"] - r["start_idx"] and (r["overhang"] is not None or r["frag_no"] == 1),
     "e11_generate_padlocks": lambda r: probe(r) and 0 <= r["idx"] - r["group_start"] <= 60,
     "e12_design_of_sequences": probe,

@@ -101,3 +101,60 @@ def test_streams_of_a_file_and_of_a_folder(spark, tmp_path):
     for name, n in (("file", 2), ("folder", 3)):
         got = stateless.to_files(stateless.parquet_stream(spark, str(tmp_path / f"{name}.parquet")))
         assert sorted(r["k"] for r in got.collect()) == list(range(1, n + 1))
+
+
+AWKWARD = """LOCUS       INV_2                   130 bp ds-DNA     linear   BCT 01-JAN-2020
+DEFINITION  Invented.
+ACCESSION   INV_2 REGION: 1..130
+VERSION     INV_2.7
+DBLINK      BioProject: PRJX1
+            BioSample: SAMX2
+KEYWORDS    one; two.
+SOURCE      Inventa (mirabilis)
+  ORGANISM  Inventa
+REFERENCE   1
+  AUTHORS   Nobody,A.
+  CONSRTM   Nobodies
+  TITLE     Direct
+            Submission
+  JOURNAL   Submitted
+   PUBMED   12
+REFERENCE   2  (bases 3 to 9)
+  AUTHORS   Noone,B.
+COMMENT     COMMENT     said twice.
+            Second line.
+COMMENT     Another.
+FEATURES             Location/Qualifiers
+     source          1..130
+     gene            complement(join(<3..9,
+                     12^13,INV_9.1:1..>5))
+                     /gene="a ""quoted"" name"
+                     /note="with /slash=inside
+                     /and=another"
+                     /pseudo
+                     /number=3
+                     /note=""
+     misc_feature    7
+ORIGIN
+        1 ACGTNacgtn acgtacgtac acgtacgtac acgtacgtac acgtacgtac acgtacgtac
+       61 acgtacgtac acgtacgtac acgtacgtac acgtacgtac acgtacgtac acgtacgtac
+      121 acgtacgtac
+//
+"""
+
+
+def test_an_awkward_flat_file(spark):
+    r = genbank.parse_record(AWKWARD)
+    info = r["info"]
+    assert (info["name"], info["length"], info["stranded"], info["molecule_type"], info["form"], info["gb_division"], info["mod_date"]) == ("INV_2", 130, "ds", "DNA", "linear", "BCT", "01-JAN-2020")
+    assert info["accession"] == "INV_2 REGION: 1..130" and (info["version"], info["GI"]) == ("INV_2.7", None) and info["dblink"] == "BioProject: PRJX1 BioSample: SAMX2"
+    assert info["organism"] == ["Inventa"] and [(x["r_index"], x["start_idx"], x["end_idx"], x["title"], x["pubmed"]) for x in info["references"]] == [(1, None, None, "Direct Submission", "12"), (2, 3, 9, None, None)]
+    assert info["comment"] == {"text": "COMMENT     said twice. Second line. Another.", "assembly": None}
+    source, gene, misc = r["features"]
+    assert gene["location"] == "complement(join(<3..9,12^13,INV_9.1:1..>5))" and (source["qualifiers"], misc["location"]) == ([], "7")
+    assert dict(gene["qualifiers"]) == {"gene": ['a "quoted" name'], "note": ["with /slash=inside /and=another", ""], "pseudo": [None], "number": ["3"]}
+    assert len(r["seq"]) == 130 and r["seq"].startswith("ACGTNacgtn")
+    again = genbank.parse_record(genbank.record_text(r["info"], r["features"], r["seq"]))
+    assert again == r
+    rows = genbank.parse_genbank(spark.createDataFrame([(1, AWKWARD.replace("\n", "\r\n")), (2, ""), (3, None), (4, AWKWARD[:300])], "id int, t string"), "id", "t").collect()
+    assert {x["id"]: x["seq"] for x in rows} == {1: r["seq"], 4: None}

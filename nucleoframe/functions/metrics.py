@@ -133,3 +133,9 @@ def right_arm_clamp(arm: Column) -> Column:
 
 def left_arm_clamp(arm: Column) -> Column:
     return count_of(F.left(arm, F.lit(5)), "GC")
+
+
+def rolling_gc(seq: Column, width: int) -> Column:
+    """The number of G and C in every window of ``width`` letters, in order."""
+    every = F.regexp_extract_all(seq, F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1))
+    return F.transform(every, lambda w: count_of(w, "GC"))

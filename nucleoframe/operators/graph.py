@@ -76,10 +76,15 @@ def barcode_pool(spark: SparkSession, n: int) -> DataFrame:
     return words.where(~F.col("barcode").rlike("AAAA|CCCC|GGGG|TTTT") & (count_of(F.col("barcode"), "GC") < n - 1))
 
 
+def cliques_of(seqs: DataFrame, key: str, seq: str, need: int, min_distance: int, cutoff: int | None = None) -> DataFrame:
+    """``clique_no, size, members``: maximal sets of at least ``need`` sequences that all differ in ``min_distance`` places or more."""
+    far = full_graph(seqs, key, seq, "placed").where(F.col("distance") >= min_distance)
+    return find_cliques(far, "i", "j", need, cutoff)
+
+
 def barcode_set(pool: DataFrame, barcode: str, min_distance: int, size: int, cutoff: int = 1) -> DataFrame:
     """The first set of ``size`` barcodes that differ in at least ``min_distance`` places from each other; an error if there is none."""
-    graph = full_graph(pool, barcode, barcode, "placed").where(F.col("distance") >= min_distance)
-    sets = find_cliques(graph, "i", "j", size, cutoff)
+    sets = cliques_of(pool, barcode, barcode, size, min_distance, cutoff)
     first = sets.where("clique_no = 1").select(F.explode(F.slice("members", 1, size)).alias(barcode))
     if first.isEmpty():
         raise RuntimeError(f"no {size} barcodes differ in {min_distance} places")

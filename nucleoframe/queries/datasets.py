@@ -1,4 +1,4 @@
-"""Queries of text layout, feature lists, position sets, gene-wise design, files and data sets."""
+"""Queries of text layout, orders and sets of hits, feature lists, position sets, gene-wise design, files and data sets."""
 
 from __future__ import annotations
 
@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nucleoframe.common import table, work_folder
-from nucleoframe.functions import codon, text
-from nucleoframe.operators import genes, padlock, records, regions, restriction
+from nucleoframe.functions import codon, metrics, text
+from nucleoframe.operators import genes, graph, kmers, padlock, records, regions, restriction, similarity
 from nucleoframe.queries import base
 from nucleoframe.queries.base import query, rc_sql
-from nucleoframe.queries.relational import _PERMITTED, _SIMPLE, _flat, _simple
+from nucleoframe.queries.relational import _SIMPLE, _TARGETS, _bars, _flat, _simple, _targets
 from nucleoframe.queries.scalars import _USAGE, _usage, tm_sql
-from nucleoframe.sources import fasta, tables
+from nucleoframe.sources import fasta, genbank, tables
 
 # text
 
@@ -46,6 +46,56 @@ def s15i(spark: SparkSession, d: str) -> DataFrame:
     return _pages(spark, d).select("doc_id", text.indented(F.col("text"), "> ").alias("out"))
 
 
+# sets and orders of hits, cliques, windows
+
+
+@query("w11_rolling_gc", "SELECT id, list_transform(range(1, length(seq) - 18), lambda i: length(regexp_replace(substr(seq, i, 20), '[^GC]', '', 'g'))::INT) AS gc FROM oligos")
+def w11(spark: SparkSession, d: str) -> DataFrame:
+    return base.oligos(spark, d, "seq").select("id", metrics.rolling_gc(F.col("seq"), 20).cast("array<int>").alias("gc"))
+
+
+_HITS = _TARGETS.format(m=20) + """, near AS (SELECT t.id, t.t, win.* FROM targets t JOIN win ON left(t.t, 10) = left(w, 10) UNION SELECT t.id, t.t, win.* FROM targets t JOIN win ON right(t.t, 10) = right(w, 10)),
+hit AS (SELECT id AS target_id, ref_id, "offset" FROM near WHERE hamming(t, w) <= 1)
+"""
+
+
+def _hits(spark: SparkSession, d: str, k: int) -> DataFrame:
+    return similarity.similarity_join(_targets(spark, d, 20), "id", "t", base.contigs(spark, d), "id", "seq", 20, k)
+
+
+@query("o2_sorted_hits", _HITS + """SELECT target_id, list({'ref_id': ref_id, 'offset': "offset"} ORDER BY ref_id, "offset") AS hits FROM hit GROUP BY target_id""")
+def o2(spark: SparkSession, d: str) -> DataFrame:
+    return _hits(spark, d, 1).groupBy("target_id").agg(F.sort_array(F.collect_list(F.struct("ref_id", "offset"))).alias("hits"))
+
+
+@query("o7_union_of_hits", _HITS + """SELECT target_id, ref_id, "offset" FROM hit UNION SELECT t.id, ref_id, "offset" FROM targets t JOIN win ON w = t.t""")
+def o7(spark: SparkSession, d: str) -> DataFrame:
+    cols = ["target_id", "ref_id", "offset"]
+    return _hits(spark, d, 1).select(*cols).unionByName(_hits(spark, d, 0).select(*cols)).distinct()
+
+
+@query("o6_disjoint_words", "SELECT id, NOT list_has_any(list_transform(range(1, length(seq_l) - 3), lambda i: substr(seq_l, i, 5)), list_transform(range(1, length(seq_r) - 3), lambda i: substr(seq_r, i, 5))) AS ok FROM oligos")
+def o6(spark: SparkSession, d: str) -> DataFrame:
+    return base.oligos(spark, d, "seq_l", "seq_r").select("id", (~F.arrays_overlap(kmers.word_list(F.col("seq_l"), 5), kmers.word_list(F.col("seq_r"), 5))).alias("ok"))
+
+
+_CLIQUES = """, e AS (SELECT a.barcode AS i, b.barcode AS j FROM bars a JOIN bars b ON hamming(a.barcode, b.barcode) >= 4),
+near AS (SELECT i, list(j) AS js FROM e GROUP BY i),
+grown AS (SELECT [i] AS members, js AS may FROM near UNION ALL SELECT list_append(members, n.i), list_intersect(may, n.js) FROM grown JOIN near n ON n.i > members[-1] AND list_contains(may, n.i))
+SELECT (row_number() OVER (ORDER BY len(members) DESC, members))::INT AS clique_no, len(members)::INT AS size, members FROM grown WHERE len(may) = 0 AND len(members) >= """
+
+
+@query("g7_cliques_of_sequences", _CLIQUES + "3")
+def g7(spark: SparkSession, d: str) -> DataFrame:
+    return graph.cliques_of(_bars(spark, d), "barcode", "barcode", 3, 4)
+
+
+@query("o4_first_cliques", _CLIQUES + "3 ORDER BY clique_no LIMIT 5")
+def o4(spark: SparkSession, d: str) -> DataFrame:
+    """The limit is the feature: the five largest cliques."""
+    return graph.cliques_of(_bars(spark, d), "barcode", "barcode", 3, 4).orderBy("clique_no").limit(5)
+
+
 # feature lists
 
 
@@ -144,6 +194,13 @@ def io26(spark: SparkSession, d: str) -> DataFrame:
 # files
 
 
+@query("io10_parse_origin", "SELECT id, coalesce(regexp_replace(seq, '[^A-Za-z]', '', 'g'), '') AS seq FROM recs WHERE NOT coalesce(regexp_matches(seq, '[^A-Za-z\\s\\d]'), FALSE)")
+def io10(spark: SparkSession, d: str) -> DataFrame:
+    """The letters of the ORIGIN section; records whose sequence has other marks than letters, blanks and digits aren't asked for."""
+    own = base.records(spark, d).where("not coalesce(seq rlike '[^A-Za-z\\\\s\\\\d]', false)")
+    return genbank.parse_genbank(genbank.genbank_text(own, "id"), "id", "text").select("id", F.coalesce("seq", F.lit("")).alias("seq"))
+
+
 @query("io16_first_sequences", """SELECT id::VARCHAR || '.fa' AS path, seq FROM contigs WHERE seq <> ''
 UNION ALL SELECT id::VARCHAR || '.gb', regexp_replace(seq, '[\\s\\d]', '', 'g') FROM recs UNION ALL SELECT id::VARCHAR || '.txt', NULL FROM contigs WHERE seq <> ''""")
 def io16(spark: SparkSession, d: str) -> DataFrame:

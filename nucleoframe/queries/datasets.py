@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nucleoframe.common import table, work_folder
-from nucleoframe.functions import codon, metrics, text
+from nucleoframe.functions import codon, metrics, sql, text
 from nucleoframe.operators import genes, graph, kmers, padlock, records, regions, restriction, similarity
 from nucleoframe.queries import base
 from nucleoframe.queries.base import query, rc_sql
@@ -273,3 +273,13 @@ def r4w(spark: SparkSession, d: str) -> DataFrame:
 def io22l(spark: SparkSession, d: str) -> DataFrame:
     lines = spark.createDataFrame([("AA/CGTT AclI",), ("(10/15)ACNNNNGTAYC(12/7)    BaeI",), ("ACCTGC(4/8) BspMI BfuAI",), ("",)], "line string")
     return tables.parse_enzyme_list(lines, "line").select("name", "sites")
+
+
+@query("sql1_functions", """SELECT id, translate(seq_l, 'ACGT', 'TGCA') AS c, reverse(translate(seq_l, 'ACGT', 'TGCA')) AS rc, round(length(regexp_replace(seq_l, '[^GC]', '', 'g')) / length(seq_l), 6) AS gc,
+hamming(seq_l, seq_r)::INT AS hd, list_transform(range(1, length(seq_l) - 3), lambda i: substr(seq_l, i, 5)) AS words FROM oligos""")
+def sql1(spark: SparkSession, d: str) -> DataFrame:
+    sql.register(spark)
+    own = base.oligos(spark, d, "seq_l", "seq_r")
+    return spark.sql(
+        "SELECT id, seq_complement(seq_l) AS c, seq_reverse_complement(seq_l) AS rc, round(seq_gc_content(seq_l), 6) AS gc, seq_hamming(seq_l, seq_r) AS hd, seq_words(seq_l, 5) AS words FROM {own}", own=own
+    )

@@ -107,3 +107,21 @@ def test_weighted_codons_follow_the_usage(spark):
     assert len({got[i] for i in range(40)}) == 40
     some = "".join(drawn(0.2)[i] for i in range(40))
     assert {some[a : a + 3] for a in range(0, len(some), 3)} == {"CTG", "TTA", "ATG"}
+
+
+def test_functions_in_sql(spark):
+    from nucleoframe.common import bare_id
+    from nucleoframe.functions import bits, metrics, sql
+    from nucleoframe.operators import kmers
+
+    assert len(sql.register(spark)) == len(sql.register(spark)) == len(sql.FUNCTIONS)
+    df = spark.createDataFrame([("ACGTTGCA", "ACGATGCC"), ("ac 1gn", "acgt"), ("", ""), (None, "A"), (" x:ENST1.2 ", "q")], "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    got = df.select(
+        F.expr("seq_reverse_complement(a)"), F.expr("seq_gc_content(a)"), F.expr("seq_to_int(a)"), F.expr("seq_words(a, 3)"), F.expr("bare_transcript_id(a)"), F.expr("seq_letters(a)"),
+        seq.simple_reverse_complement(a), metrics.gc_content(a), bits.seq_to_int(a), kmers.word_list(a, 3), bare_id(a), F.regexp_replace(a, r"[\s\d]+", ""),
+    ).collect()
+    for r in got:
+        x, y = tuple(r)[:6], tuple(r)[6:]
+        assert x[0] == y[0] and x[1] == y[1] and x[2] == y[2] and x[4:] == y[4:] and [w.upper() for w in x[3] or []] == (y[3] or [])
+    assert [r[0] for r in df.select(F.expr("seq_hamming(a, b)")).collect()] == [2, None, 0, None, None]

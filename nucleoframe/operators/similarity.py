@@ -72,8 +72,8 @@ def _filter_of(keys: DataFrame) -> np.ndarray:
     place = F.shiftrightunsigned("key", 64 - FILTER_BITS)
     words = keys.select(F.shiftright(place, 6).alias("i"), F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(63).cast("int")).alias("b")).groupBy("i").agg(F.bit_or("b").alias("b"))
     out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for r in words.toLocalIterator():
-        out[r["i"]] = r["b"]
+    found = words.toArrow()  # at most as many rows as the filter has words of 64 bits
+    out[found["i"].to_numpy()] = found["b"].to_numpy()
     return out.view(np.uint64)
 
 

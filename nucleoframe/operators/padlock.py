@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -87,6 +88,16 @@ def _word(codes: np.ndarray) -> int | None:
     return None if len(codes) and not 0 <= codes.min() <= codes.max() < 4 else sum(int(c) << 2 * (len(codes) - 1 - j) for j, c in enumerate(codes))
 
 
+@lru_cache(maxsize=512)
+def _scaffold_words(scaffold_seq: str, size: int) -> tuple[np.ndarray, int | None, float]:
+    """Which words the reverse complement of a scaffold has, its first one (none with a foreign letter) and the temperature of that."""
+    back = 3 - _codes(scaffold_seq)[::-1]
+    known = np.zeros(1 << 2 * size, bool)
+    known[[w for i in range(len(back) - size + 1) if (w := _word(back[i : i + size])) is not None]] = True
+    mine = _word(back[:size]) if len(back) >= size else None
+    return known, mine, 0.0 if mine is None else tm_of(scaffold_seq[-size:].upper())
+
+
 def _word_at(text: str, word: str) -> np.ndarray:
     """Where a word begins, overlapping ones too."""
     x, w = (np.frombuffer(t.encode("latin-1", "replace"), np.uint8) for t in (text, word))
@@ -138,8 +149,6 @@ def _scan(text: str, scaffold_seq: str, p: Screen) -> dict[str, list]:
     at = np.flatnonzero(ok)
     worst = np.zeros(len(at))
     # of the arms' and the scaffold's last 4 to 8 bases those that the other strand can pair with, as in dimer_tm
-    frame = _codes(scaffold_seq)
-    back = 3 - frame[::-1]
     forth, turned = np.zeros(len(base), np.int32), np.zeros(len(base), np.int32)  # the word from each place on, and its reverse complement
     for size in range(1, min(8, p.arm) + 1 if len(at) else 0):
         here = base[size - 1 :].astype(np.int32)
@@ -151,17 +160,15 @@ def _scan(text: str, scaffold_seq: str, p: Screen) -> dict[str, list]:
         own, met = turned[tail], np.zeros(len(at), bool)
         for x in places:
             met |= x == own
-        known = np.zeros(1 << 2 * size, bool)
-        known[[w for i in range(len(back) - size + 1) if (w := _word(back[i : i + size])) is not None]] = True
+        known, mine, tm = _scaffold_words(scaffold_seq, size)
         met |= known[forth[tail]]
         hit = np.flatnonzero(met)
         worst[hit] = np.maximum(worst[hit], melting(tail[hit], size))
-        mine = _word(back[:size]) if len(frame) >= size else None
         if mine is not None:
             met = np.zeros(len(at), bool)
             for x in places:
                 met |= x == mine
-            worst[met] = np.maximum(worst[met], tm_of(scaffold_seq[-size:].upper()))
+            worst[met] = np.maximum(worst[met], tm)
     keep = at[worst <= p.structure_max].tolist()
     out = {k: [] for k in names}
     reach, k = 2 * p.arm + p.spacing, 0

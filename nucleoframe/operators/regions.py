@@ -72,10 +72,14 @@ def sliced_sequence(seq: Column, offset: Column, lo: Column, hi: Column, is_reve
 
 
 def permitted_sequences(regions: DataFrame, variants: DataFrame, key: str, start: str, end: str, seq: str, strand: str) -> DataFrame:
-    """``key, lo, hi, seq``: permitted runs with their part of the region's sequence, for every region of a key."""
+    """``key, lo, hi, seq``: permitted runs with their part of the region's sequence, for every region of a key.
+
+    The sequences are joined by sorting: Spark takes each for 20 bytes as long as it
+    hasn't measured them, and would send all of them through the driver to every task.
+    """
     runs = _runs(regions, variants, key, start, end)
-    own = ordered_bounds(regions, start, end).select(key, F.col(f"`{start}`").alias("r_lo"), F.col(f"`{end}`").alias("r_hi"), F.col(f"`{seq}`").alias("_nf_seq"), (F.col(f"`{strand}`") < 0).alias("_nf_rev")).distinct()
-    return runs.join(own, [key, "r_lo", "r_hi"]).select(key, "lo", "hi", sliced_sequence(F.col("_nf_seq"), F.col("r_lo"), F.col("lo"), F.col("hi"), F.col("_nf_rev")).alias("seq")).distinct()
+    own = ordered_bounds(regions, start, end).select(key, F.col(f"`{start}`").alias("r_lo"), F.col(f"`{end}`").alias("r_hi"), F.col(f"`{seq}`").alias("_nf_seq"), (F.col(f"`{strand}`") < 0).alias("_nf_rev"))
+    return runs.join(own.hint("merge"), [key, "r_lo", "r_hi"]).select(key, "lo", "hi", sliced_sequence(F.col("_nf_seq"), F.col("r_lo"), F.col("lo"), F.col("hi"), F.col("_nf_rev")).alias("seq")).distinct()
 
 
 def features_in_range(features: DataFrame, start: str, end: str, lo: int, hi: int) -> DataFrame:

@@ -1,5 +1,6 @@
 """Queries on small made tables with rows that are long, reversed or hold several values, against brute force."""
 
+from contextlib import contextmanager
 from datetime import datetime
 
 from nucleoframe.queries import base, core
@@ -61,3 +62,28 @@ def test_all_values_of_a_translation(spark, tmp_path):
     got = {r["id"]: r["aa"] for r in base.proteins(spark, d).collect()}
     assert got == {"7/1": "MKV", "7/2": "MKL", "7/2/2": "MAA", "7/2/3": "MRV", "7/3/2": "MCC", "7/4/3": "MDD"}
     assert {r["id"] for r in QUERIES["s12_reverse_translate"](spark, d).where("ok").collect()} == set(got)
+
+
+@contextmanager
+def conf(spark, **values):
+    for k, v in values.items():
+        spark.conf.set(f"spark.sql.{k}", v)
+    try:
+        yield
+    finally:
+        for k in values:
+            spark.conf.unset(f"spark.sql.{k}")
+
+
+def test_sequences_are_not_sent_to_every_task(spark, tmp_path):
+    n, long = 400, 250_000  # 100 MB of sequences from tables of some KB
+    cuts = [(1000 * j + 1, 1000 * j + 100) for j in range(1, 21)]
+    d = write(
+        spark, tmp_path, genes=([gene(f"G{i}", 1, long) for i in range(n)], GENES),
+        exons=([exon(f"e{i}/{a}", f"TG{i}", a, b) for i in range(n) for a, b in cuts], EXONS),
+    )
+    with conf(spark, autoBroadcastJoinThreshold="256k", maxBroadcastTableSize="80m"):  # a broadcast table takes a page of 32 MB at least
+        rows = QUERIES["e6_permitted_sequences"](spark, d)
+        got = sorted((r["parent"], r["lo"], r["hi"], r["n"]) for r in rows.selectExpr("parent", "lo", "hi", "length(seq) AS n").collect())
+    free = list(zip([1, *[b + 1 for _, b in cuts]], [*[a for a, _ in cuts], long + 1]))
+    assert got == sorted((f"TG{i}", lo, hi, hi - lo) for i in range(n) for lo, hi in free)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from nucleoframe.common import cut_lineage
 from nucleoframe.functions.metrics import gc_content, left_arm_clamp, right_arm_clamp
 from nucleoframe.functions.thermo import _DISORDER, _HEAT, GAS, KELVIN, heterodimer_proxy, melting_temperature, tm_of
 from nucleoframe.operators.genes import transcripts_of
@@ -215,15 +216,17 @@ def target_segments(genes: DataFrame, variants: DataFrame, variant_key: str, seq
     variants of the transcript, as segments from 5' to 3'.  Segments of up to two arms
     are left out, the last ``three_prime`` permitted bases too: a segment that reaches
     into them is trimmed, or left out if less than two arms remain.  ``genome_idx`` is the
-    lowest place of a segment.  ``sequences``: ``exon_id, seq`` in the direction of the strand.
+    lowest place of a segment.  ``sequences``: ``exon_id, seq`` in the direction of the strand;
+    they are joined by sorting, as in ``permitted_sequences``.  The chosen exons with their
+    sequences are written once, since several steps start from them.
     """
     t = transcripts_of(genes).where("t.is_canonical = 1").groupBy("gene_id").agg(F.min(F.struct("t.id", "t.strand", F.try_element_at(F.col("t.Exon"), F.lit(-1)).alias("e"))).alias("x"))
     exons = t.select("gene_id", F.col("x.id").alias("transcript_id"), F.col("x.strand").alias("strand"), F.col("x.e.id").alias("exon_id"), F.col("x.e.start").alias("start"), F.col("x.e.end").alias("end"))
-    whole = exons.join(sequences, "exon_id").select("transcript_id", "start", "end", "strand", "seq")
+    whole = cut_lineage(exons.join(sequences.hint("merge"), "exon_id").select("gene_id", "transcript_id", "exon_id", "strand", "start", "end", "seq"))
     v = variants.select(F.col(variant_key).alias("transcript_id"), "start", "end")
     runs = permitted_sequences(whole, v, "transcript_id", "start", "end", "seq", "strand")
-    own = exons.select("gene_id", "transcript_id", "exon_id", "strand", F.least("start", "end").alias("_lo"), F.greatest("start", "end").alias("_hi"))
-    rows = runs.join(own, "transcript_id").where("lo >= _lo and hi <= _hi + 1").withColumn("n", F.length("seq"))
+    own = whole.select("gene_id", "transcript_id", "exon_id", "strand", F.least("start", "end").alias("_lo"), F.greatest("start", "end").alias("_hi"))
+    rows = runs.join(own.hint("merge"), "transcript_id").where("lo >= _lo and hi <= _hi + 1").withColumn("n", F.length("seq"))
     along = Window.partitionBy("gene_id").orderBy(F.when(F.col("strand") < 0, -F.col("lo")).otherwise(F.col("lo")))
     before = F.coalesce(F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     room = F.sum("n").over(Window.partitionBy("gene_id")) - three_prime - before
@@ -238,23 +241,24 @@ def design_for_genes(segments: DataFrame, template: str, barcodes: list[str], p:
     """The probes of every gene's segments; genes without any are tried once more with a higher limit of G and C (``relaxed``).
 
     Every gene has one of the barcodes (a constant list), by a hash of its id, in its scaffold.  ``idx`` counts within the segment.
+    Segments are read once: one without probes is tried again at its place, and what that gives counts if its whole gene had none.
     """
     bar = F.get(F.array(*[F.lit(b) for b in barcodes]), F.pmod(F.xxhash64("gene_id"), F.lit(len(barcodes))).cast("int"))
     rows = segments.withColumn("barcode", bar).withColumn("scaffold", scaffold(template, F.col("barcode")))
     key = F.struct("gene_id", "transcript_id", "exon_id", "strand_dir", "genome_idx", "barcode", "scaffold")
     rows = rows.select("gene_id", key.alias("k"), F.concat("scaffold", F.lit("|"), "seq").alias("both"))
-    fields = "idx int, group_start int, seq_l string, seq_r string, gc_l double, gc_r double, tm_l double, tm_r double, score double"
-
-    def tried(own: DataFrame, screen: Screen, relaxed: bool) -> DataFrame:
-        def work(t: str) -> dict[str, list]:
-            s, _, seq = t.partition("|")
-            return _scan(seq, s, screen)
+    fields = "idx int, group_start int, seq_l string, seq_r string, gc_l double, gc_r double, tm_l double, tm_r double, score double, relaxed boolean"
+    again = Screen(**{**p.__dict__, "gc_max": relaxed_gc})
 
-        return per_record(own, "k", "both", work, fields).select("k.*", "idx", "group_start", "seq_l", "seq_r", "tm_l", "tm_r", "score", F.concat("seq_r", "k.scaffold", "seq_l").alias("padlock_seq"), F.lit(relaxed).alias("relaxed"))
+    def work(t: str) -> dict[str, list]:
+        s, _, seq = t.partition("|")
+        first = _scan(seq, s, p)
+        out = first if first["idx"] else _scan(seq, s, again)
+        return out | {"relaxed": [out is not first] * len(out["idx"])}
 
-    first = tried(rows, p, False)
-    rest = rows.join(first.select("gene_id").distinct(), "gene_id", "left_anti")
-    return first.unionByName(tried(rest, Screen(**{**p.__dict__, "gc_max": relaxed_gc}), True))
+    probes = per_record(rows, "k", "both", work, fields).select("k.*", "idx", "group_start", "seq_l", "seq_r", "tm_l", "tm_r", "score", F.concat("seq_r", "k.scaffold", "seq_l").alias("padlock_seq"), "relaxed")
+    least = F.min("relaxed").over(Window.partitionBy("gene_id"))
+    return probes.withColumn("_nf_least", least).where(F.col("relaxed") == F.col("_nf_least")).drop("_nf_least")
 
 
 def padlock_table(hits: DataFrame) -> DataFrame:

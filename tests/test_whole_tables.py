@@ -87,3 +87,16 @@ def test_sequences_are_not_sent_to_every_task(spark, tmp_path):
         got = sorted((r["parent"], r["lo"], r["hi"], r["n"]) for r in rows.selectExpr("parent", "lo", "hi", "length(seq) AS n").collect())
     free = list(zip([1, *[b + 1 for _, b in cuts]], [*[a for a, _ in cuts], long + 1]))
     assert got == sorted((f"TG{i}", lo, hi, hi - lo) for i in range(n) for lo, hi in free)
+
+
+def test_design_reads_its_segments_once(spark, tmp_path):
+    genes = [(f"G{i}", f"G{i}", 1, 1, 5000, "1", "human", None, [(f"T{i}", "x", 1, 1, 1, 5000, [(f"E{i}", 1001, 1000 + 60 * (i + 1), 1, "1")])]) for i in range(8)]
+    d = write(
+        spark, tmp_path, genes=(genes, GENES), exons=([exon(f"v{i}1", f"T{i}", 1061, 1062) for i in range(8)], EXONS),
+        barcodes=([("AACCA",), ("ACCGG",)], "barcode string"),
+    )
+    rows = QUERIES["e12_design_padlocks"](spark, d)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange") < 20
+    found = rows.collect()
+    assert found and all(len({r["relaxed"] for r in found if r["gene_id"] == g}) == 1 for g in {r["gene_id"] for r in found})
